@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,24 +31,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a purely local session without it gets a temporary one."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
         if not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="quadloom-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     sc.setCheckpointDir(shared)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and go on from the files.
+    """Write `df` as a table in the shared checkpoint folder and go on from its files.
 
     The files outlive any executor, so iterative jobs neither recompute nor
-    depend on executor-local blocks. `spark.checkpoint.dir` names the folder;
-    only a purely local session without it gets a temporary one.
+    depend on executor-local blocks; as Parquet they are a fraction of the size of
+    serialised rows. `release` deletes a table that a later round has replaced.
     """
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{_shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    cut = df.sparkSession.read.schema(df.schema).parquet(path)
+    cut._cut_path = path
+    return cut
+
+
+def release(*cuts: DataFrame) -> None:
+    """Delete the files of tables made by `cut_lineage` that nothing reads any more."""
+    for df in cuts:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
