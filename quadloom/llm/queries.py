@@ -11,6 +11,7 @@ from quadloom.llm.components import group_nodes
 from quadloom.llm.heavy_hitters import frequent_values, top_values
 from quadloom.llm.quantiles import merge, percentiles, sketch
 from quadloom.llm.term_counts import mark_terms
+from quadloom.llm.text_quality import text_statistics
 from quadloom.llm.tokens import encode_texts
 from quadloom.runtime import table
 
@@ -70,6 +71,16 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics and kind of every document's text."""
+    return text_statistics(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, not blank, in which running sentences make up less than half of the non-blank lines."""
+    return p8_stats(spark, d).filter(F.col("prose_share") < 0.5).select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
@@ -79,4 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_sketch": p4_sketch,
     "p6_ids": p6_ids,
+    "p8_found": p8_found,
+    "p8_stats": p8_stats,
 }
