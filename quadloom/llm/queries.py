@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from quadloom.llm.components import group_nodes
 from quadloom.llm.heavy_hitters import frequent_values, top_values
+from quadloom.llm.packing import pack
 from quadloom.llm.quantiles import merge, percentiles, sketch
 from quadloom.llm.term_counts import mark_terms
 from quadloom.llm.text_quality import text_statistics
-from quadloom.llm.tokens import encode_texts
+from quadloom.llm.tokens import count_tokens, encode_texts
 from quadloom.runtime import table
 
 
@@ -71,6 +72,19 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Container of every notebook, or piece of one, for each token budget."""
+    budgets = table(spark, d, "token_budgets").select("budget", "tokenizer", "capacity").limit(1001).collect()
+    if len(budgets) > 1000:
+        raise ValueError("more than 1,000 token budgets")
+    found = None
+    for tokenizer in sorted({b.tokenizer for b in budgets}):
+        sizes = count_tokens(table(spark, d, "documents"), "doc_id", "text", tokenizer)
+        packed, _ = pack(sizes, "doc_id", "tokens", [(b.budget, b.capacity) for b in budgets if b.tokenizer == tokenizer])
+        found = packed if found is None else found.unionByName(packed)
+    return found.withColumnsRenamed({"bin": "budget", "start": "token_from", "size": "tokens"})
+
+
 def p8_stats(spark: SparkSession, d: str) -> DataFrame:
     """Statistics and kind of every document's text."""
     return text_statistics(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"))
@@ -90,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_sketch": p4_sketch,
     "p6_ids": p6_ids,
+    "p7_containers": p7_containers,
     "p8_found": p8_found,
     "p8_stats": p8_stats,
 }
