@@ -98,3 +98,37 @@ def refine_large(placed: DataFrame, scheme: str = "md5", max_rounds: int | None
     for more in settled[1:]:
         out = out.unionByName(more)
     return out
+
+
+def digest_round(triples: DataFrame, colours: DataFrame) -> DataFrame:
+    """(g, node, h): the next colours in the `digest` mode, which stays in the JVM.
+
+    A node's colour is the md5 of its old one, its number of edges and the sums of
+    the four words of the edges' md5. Sums combine map-side, so hubs don't matter.
+    """
+    ends = F.explode(F.array(
+        F.struct(F.col("s").alias("node"), F.col("o").alias("far"), F.lit("+").alias("sign")), F.struct(F.col("o").alias("node"), F.col("s").alias("far"), F.lit("-").alias("sign"))
+    ))
+    edges = triples.select("g", "p", ends.alias("e")).select("g", "p", "e.*").filter(is_bnode("node"))
+    seen = edges.join(colours.select("g", F.col("node").alias("far"), "h"), ["g", "far"], "left")
+    eh = F.md5(F.concat("sign", "p", F.lit("\u0001"), F.coalesce("h", F.md5("far"))))
+    word = lambda i: F.sum(F.conv(F.substring("eh", 8 * i + 1, 8), 16, 10).cast("bigint"))
+    sums = seen.select("g", "node", eh.alias("eh")).groupBy("g", "node").agg(F.count(F.lit(1)).alias("n"), *(word(i).alias(f"w{i}") for i in range(4)))
+    text = F.concat_ws(",", "h", *(F.col(c).cast("string") for c in ("n", "w0", "w1", "w2", "w3")))
+    return colours.join(sums, ["g", "node"]).select("g", "node", F.md5(text).alias("h"))
+
+
+def digest_refine(triples: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, int]:
+    """Stable `digest` colours (g, node, h) of all blank nodes, and the rounds taken."""
+    ends = F.explode(F.filter(F.array("s", "o"), lambda t: t.startswith("_:")))
+    colours = cut_lineage(triples.select("g", ends.alias("node")).distinct().withColumn("h", F.md5(F.lit(""))))
+    count = lambda c: c.groupBy("g").agg(F.count_distinct("h").alias("n")).agg(F.sum("n")).first()[0] or 0
+    before, done = count(colours), 0
+    while True:
+        new = cut_lineage(digest_round(triples, colours))
+        after, done = count(new), done + 1
+        release(colours)
+        colours = new
+        if after == before or done == max_rounds:
+            return colours, done
+        before = after
