@@ -56,7 +56,7 @@ def runs_of_graphs(triples: DataFrame, order: str) -> DataFrame:
     """
     span = F.floor(F.col(order) / 1_000_000)
     own = Window.partitionBy("chunk").orderBy(order)
-    rows = triples.select("g", order, span.alias("chunk")).withColumn("new", F.coalesce((~F.col("g").eqNullSafe(F.lag("g").over(own))).cast("int"), F.lit(1)))
+    rows = triples.select("g", order, span.alias("chunk")).withColumn("new", (F.lag(order).over(own).isNull() | ~F.col("g").eqNullSafe(F.lag("g").over(own))).cast("int"))
     first = rows.groupBy("chunk").agg(F.min_by("g", order).alias("head"), F.max_by("g", order).alias("tail"), F.sum("new").alias("n"), F.min_by("new", order).alias("n0"))
     between = Window.orderBy("chunk")
     # A chunk's first row opens no run if the chunk before ended in the same graph.
