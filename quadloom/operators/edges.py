@@ -51,23 +51,24 @@ def edge_signatures(edges: DataFrame) -> DataFrame:
 
 
 def rarest_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(g, bnode, e, degree): the edge of each of `nodes` (g, bnode) that fewest nodes have."""
+    """(g, bnode, e, degree, n): the edge of each of `nodes` (g, bnode) that fewest nodes have, and how many do."""
     frequency = edges.groupBy("g", "e").agg(F.count(F.lit(1)).alias("n"))
     own = edges.join(nodes.select("g", F.col("bnode").alias("node")), ["g", "node"], "left_semi").join(frequency, ["g", "e"])
-    return own.groupBy("g", F.col("node").alias("bnode")).agg(F.min_by("e", F.struct("n", "e")).alias("e"), F.count(F.lit(1)).alias("degree"))
+    return own.groupBy("g", F.col("node").alias("bnode")).agg(F.min_by("e", F.struct("n", "e")).alias("e"), F.count(F.lit(1)).alias("degree"), F.min("n").alias("n"))
 
 
-def contained_in(edges: DataFrame, nodes: DataFrame, proper: bool = False) -> DataFrame:
+def contained_in(edges: DataFrame, nodes: DataFrame, degrees: DataFrame | None = None) -> DataFrame:
     """(g, bnode, term): terms, other than itself, whose edges include all edges of the node of `nodes`.
 
     Candidates share the node's rarest edge; they stay if as many of the node's
-    edges are found with them as it has. `proper` asks for strictly more edges.
+    edges are found with them as it has. A node with an edge that no other has is
+    done at once. `degrees` (g, node, degree) asks for strictly more edges.
     """
-    rare = rarest_edges(edges, nodes)
+    rare = rarest_edges(edges, nodes).filter(F.col("n") > 1).drop("n")
     pairs = rare.join(edges.withColumnRenamed("node", "term"), ["g", "e"]).filter(F.col("term") != F.col("bnode")).select("g", "bnode", "term", "degree")
-    if proper:
-        degrees = edges.groupBy("g", F.col("node").alias("term")).agg(F.count(F.lit(1)).alias("other"))
-        pairs = pairs.join(degrees, ["g", "term"]).filter(F.col("other") > F.col("degree")).drop("other")
+    if degrees is not None:
+        other = degrees.select("g", F.col("node").alias("term"), F.col("degree").alias("other"))
+        pairs = pairs.join(other, ["g", "term"]).filter(F.col("other") > F.col("degree")).drop("other")
     wanted = pairs.join(edges.withColumnRenamed("node", "bnode"), ["g", "bnode"])
     there = wanted.join(edges.withColumnRenamed("node", "term"), ["g", "term", "e"], "left_semi")
     return there.groupBy("g", "bnode", "term", "degree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == F.col("degree")).select("g", "bnode", "term")
@@ -97,23 +98,25 @@ def closed(mapping: DataFrame) -> DataFrame:
         now._cut_path = new._cut_path
 
 
-def redundant(triples: DataFrame) -> DataFrame:
+def redundant(triples: DataFrame, changed: DataFrame | None = None) -> DataFrame:
     """(g, bnode, term): blank nodes whose edges another term has too, and that term.
 
     Of nodes with equal edges, a non-blank one or else the least blank one stays;
     the others map to it. The nodes that stay map to one with strictly more
-    edges, the one with most of them, then the least.
+    edges, the one with most of them, then the least. Only nodes of `changed`
+    (g, bnode), those that lost edges, need be looked at for the latter.
     """
     edges = cut_lineage(node_edges(triples))
-    signed = edge_signatures(edges)
-    classes = signed.groupBy("g", "degree", "sig1", "sig2").agg(F.min(F.struct(is_bnode("node").alias("b"), "node")).alias("least"))
-    kept = cut_lineage(
-        signed.filter(is_bnode("node")).join(classes, ["g", "degree", "sig1", "sig2"]).select("g", F.col("node").alias("bnode"), F.col("least.node").alias("term"))
-    )
+    signed = cut_lineage(edge_signatures(edges))
+    classes = signed.groupBy("g", "degree", "sig1", "sig2").agg(F.min(F.struct(is_bnode("node").alias("b"), "node")).alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    kept = signed.filter(is_bnode("node")).join(classes, ["g", "degree", "sig1", "sig2"], "left")
+    kept = cut_lineage(kept.select("g", F.col("node").alias("bnode"), F.coalesce("least.node", "node").alias("term")))
     equal = kept.filter(F.col("bnode") != F.col("term"))
     stay = kept.filter(F.col("bnode") == F.col("term")).select("g", "bnode")
-    larger = contained_in(edges, stay, proper=True)
-    degrees = edges.groupBy("g", F.col("node").alias("term")).agg(F.count(F.lit(1)).alias("d"))
+    if changed is not None:
+        stay = stay.join(changed.select("g", "bnode"), ["g", "bnode"], "left_semi")
+    larger = contained_in(edges, stay, signed)
+    degrees = signed.select("g", F.col("node").alias("term"), F.col("degree").alias("d"))
     best = larger.join(degrees, ["g", "term"]).groupBy("g", "bnode").agg(F.min_by("term", F.struct(-F.col("d"), F.col("term"))).alias("term"))
     return equal.unionByName(best)
 

@@ -45,18 +45,25 @@ class Leaning:
 
 def lean_trivially(triples: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The triples without blank nodes that another term makes redundant, and the map (g, bnode, term) of those."""
-    rows = triples
+    rows, changed = triples, None
     total = triples.select("g", F.col("s").alias("bnode"), F.col("s").alias("term")).filter(F.lit(False))
     done = 0
     while True:
-        found = cut_lineage(redundant(rows))
+        found = cut_lineage(redundant(rows, changed))
         done += 1
         if found.isEmpty():
             return rows, total
         step = closed(found)
-        rows = cut_lineage(graphs.without_nodes(rows, step))
+        left = cut_lineage(graphs.without_nodes(rows, step))
         total = cut_lineage(compose(total, step).unionByName(step))
-        if done == max_rounds:
+        # Only blank nodes that were linked to a removed one have lost edges, and only they can have become redundant.
+        gone = step.select("g", F.col("bnode").alias("x"))
+        links = graphs.bnode_links(rows)
+        ends = links.select("g", F.col("s").alias("x"), F.col("o").alias("bnode")).unionByName(links.select("g", F.col("o").alias("x"), F.col("s").alias("bnode")))
+        touched = ends.join(gone, ["g", "x"], "left_semi").select("g", "bnode").distinct()
+        changed = cut_lineage(touched.join(step.select("g", "bnode"), ["g", "bnode"], "left_anti"))
+        rows = left
+        if done == max_rounds or changed.isEmpty():
             return rows, total
 
 
