@@ -17,6 +17,10 @@ import numpy as np
 from quadloom.functions.hashing import blank_hash, digest, fold, hexed, int_hash, mark, rows_of, words
 
 
+#: How often a round's hash collision is mended before the component is given up.
+RECOVERIES = 5
+
+
 @dataclass
 class Chunk:
     """Triples as numbers: `s`, `o` are nodes, or -1 with the static hashes `hs`, `ho`; `part` is each node's component."""
@@ -69,8 +73,23 @@ class Chunk:
         out[order] = np.cumsum(new)
         return out
 
+    @staticmethod
+    def _joined(after: np.ndarray, now: np.ndarray) -> np.ndarray:
+        """Nodes whose new class holds nodes of several old ones, which only a hash collision can cause."""
+        span = now.max(initial=0) + 1
+        several = np.flatnonzero(np.bincount(np.unique(after * span + now) // span) > 1)
+        return np.isin(after, several)
+
+    def _recover(self, fresh: np.ndarray, colours: np.ndarray, joined: np.ndarray, attempt: int) -> None:
+        """Hash the old colour and its rank among the component's collided ones into the new colour."""
+        for c in np.unique(self.part[joined]):
+            who = np.flatnonzero(joined & (self.part == c))
+            ranks = np.unique(colours[who], axis=0, return_inverse=True)[1].ravel()
+            salts = rows_of([int_hash(int(r) * (attempt + 1) * 37, self.scheme) for r in ranks], colours.shape[1])
+            fresh[who] = fold(fresh[who], colours[who], salts)
+
     def refine(self, colours: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Stable colours; per component the number of classes, of rounds, and whether a hash collision joined classes."""
+        """Stable colours; per component the number of classes, of rounds, and whether hash collisions joined classes for good."""
         parts = int(self.part.max(initial=-1)) + 1
         sizes = np.bincount(self.part, minlength=parts)
         of = lambda c: np.bincount(self.part[np.unique(c, return_index=True)[1]], minlength=parts)
@@ -83,10 +102,15 @@ class Chunk:
             fresh[~active[self.part]] = colours[~active[self.part]]
             after = self.classes(fresh)
             rounds[active] += 1
-            seen = np.unique(after * (now.max(initial=0) + 1) + now)
-            joined = np.flatnonzero(np.bincount(seen // (now.max(initial=0) + 1)) > 1)
-            if len(joined):
-                broken[self.part[np.isin(after, joined)]] = True
+            for attempt in range(RECOVERIES + 1):
+                joined = self._joined(after, now)
+                if not joined.any():
+                    break
+                if attempt == RECOVERIES:
+                    broken[self.part[joined]] = True
+                    break
+                self._recover(fresh, colours, joined, attempt)
+                after = self.classes(fresh)
             total = of(after)
             active &= ~broken & (total != count) & (total != sizes)
             colours, now, count = fresh, after, total

@@ -158,3 +158,21 @@ def test_components(spark, limit):
     assert {(r.g, r.node): r.comp for r in got.collect()} == want
     alone = bnode_components(spark.createDataFrame([("G", "_:a", "<p>", '"x"'), ("G", "<u>", "<p>", "_:b")], SCHEMA))
     assert {(r.node, r.comp) for r in alone.collect()} == {("_:a", "_:a"), ("_:b", "_:b")}
+
+
+def test_collisions_are_mended():
+    import numpy as np
+
+    from quadloom.operators.search import Chunk
+
+    class Colliding(Chunk):
+        def round(self, colours):
+            return np.zeros_like(colours)
+
+    none = np.zeros((0, 16), np.uint8)
+    chunk = Colliding(5, np.zeros(0, int), np.zeros(0, int), none, none, none, np.array([0, 0, 0, 1, 1]), "md5")
+    start = np.zeros((5, 16), np.uint8)
+    start[[0, 3]] = 7
+    stable, count, _, broken = chunk.refine(start)
+    assert not broken.any() and count.tolist() == [2, 2]
+    assert (stable[1] == stable[2]).all() and (stable[0] != stable[1]).any() and (stable[3] != stable[4]).any()
