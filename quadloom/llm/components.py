@@ -56,7 +56,8 @@ def star_roots(edges: DataFrame, hub_degree: int = 200_000, max_rounds: int = 60
         below = active.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("value"), F.count(F.lit(1)).alias("degree"))
         # Only a node with a smaller neighbour has another least one than itself.
         large = cut_lineage(_carry(active, "b", "a", below, "m", hub_degree).select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("changed")))
-        release(active)
+        if done == 0:
+            release(active)
         least = large.groupBy(F.col("a").alias("node")).agg(
             F.struct(F.min("b").alias("m"), (F.max("changed") | (F.min("b") < F.max("b"))).alias("changed")).alias("value"), F.count(F.lit(1)).alias("degree")
         )
@@ -72,10 +73,9 @@ def star_roots(edges: DataFrame, hub_degree: int = 200_000, max_rounds: int = 60
         split = cut_lineage(_carry(stars, "b", "a", moved, "active", hub_degree))
         release(stars)
         settled.append(split.filter(~F.col("active")).select(F.col("a").alias("node"), F.col("b").alias("root")))
-        active = cut_lineage(split.filter("active").select("a", "b"))
+        active = split.filter("active").select("a", "b")
     else:
         raise RuntimeError(f"not converged after {max_rounds} rounds")
-    release(active)
     roots = active.select(F.col("a").alias("node"), F.col("b").alias("root")).filter(F.lit(False)) if not settled else settled[0]
     for more in settled[1:]:
         roots = roots.unionByName(more)
