@@ -2,7 +2,8 @@
 
 Every Arrow batch is worked on as one buffer of bytes: lines and words are found by
 scanning it with NumPy, equal words are described once (digits count as equal for
-this), and the descriptions are summed by line and by document.
+this), and the descriptions are summed by line and by document. Words of over
+_LONG bytes are described as exactly as others, but not kept from batch to batch.
 
 Layout signals, after which lines and documents are told apart:
 
@@ -27,6 +28,7 @@ columns are read.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +53,7 @@ _EAST = re.compile(r"[぀-ヿ㐀-鿿가-힯฀-๿]")
 _FAULT = re.compile(r"[A-Za-z]*(?:Error|Exception|Warning):")
 _DATA_ROW, _HEAD, _LIST, _QUOTE, _MARK, _IMPORT = 1, 2, 3, 4, 5, 6
 _LIST_HEAD = re.compile(r"[-*+•‣◦·]|\(?(?:0{1,3}|[a-z])[.)]")
+_LETTERS = string.ascii_letters.encode()
 _LONG = 64
 FEATURES = ("word", "common", "article", "unfit", "code", "letters", "symbols", "chars", "ends", "head")
 
@@ -63,16 +66,16 @@ class Words:
         self.known: dict[bytes, tuple[int, ...]] = {}
 
     def describe(self, token: bytes) -> tuple[int, ...]:
-        if token == b"\x00":  # any token of over _LONG bytes is described by this alone
-            return (0, 0, 0, 0, 1, 0, 0, 0, 0, 0)
         text = token.decode("utf-8", "replace")
         bare = text.strip("​﻿")
         core = bare.strip(_EDGE)
         low = core.lower()
-        letters = sum(map(str.isalpha, text))
-        symbols = sum(not c.isalnum() for c in text)
-        word = int(bool(_WORD.fullmatch(core)) and bool(_CASE.fullmatch(core)) and len(core) <= 30 and bare[0] not in "`$")
-        east = len(_EAST.findall(core))
+        if text.isascii():
+            letters, symbols = len(token) - len(token.translate(None, _LETTERS)), len(token.translate(None, _LETTERS + b"0123456789"))
+        else:
+            letters, symbols = sum(map(str.isalpha, text)), len(text) - sum(map(str.isalnum, text))
+        word = int(len(core) <= 30 and bool(_WORD.fullmatch(core)) and bool(_CASE.fullmatch(core)) and bare[0] not in "`$")
+        east = 0 if core.isascii() else len(_EAST.findall(core))
         if east >= 4:
             word = max(1, east // 2)
         elif east == 0 and word and not core.isascii() and len(core) > 3 and sum(c.isupper() for c in core) > 2:
@@ -103,7 +106,9 @@ class Words:
         for t in tokens:
             row = known.get(t)
             if row is None:
-                row = known[t] = self.describe(t)
+                row = self.describe(t)
+                if len(t) <= _LONG:
+                    known[t] = row
             out.append(row)
         return np.array(out, np.int32).reshape(len(out), len(FEATURES))
 
@@ -168,18 +173,11 @@ def describe(texts: pa.Array, words: Words) -> dict[str, np.ndarray]:
     is_word = ~blank[bounds[:-1]]
     w_from, w_to = bounds[:-1][is_word], bounds[1:][is_word]
     plain = _DIGITLESS[data]
-    size = w_to - w_from
     coded = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(plain)])
-    short = np.flatnonzero(is_word)[size <= _LONG]
-    enc = coded.take(pa.array(short)).dictionary_encode()
-    table = np.vstack([words.rows(enc.dictionary.to_pylist()), np.array([words.describe(b"\x00")], np.int32)])
-    codes = np.full(len(w_from), len(table) - 1)
-    codes[size <= _LONG] = enc.indices.to_numpy()
+    enc = coded.take(pa.array(np.flatnonzero(is_word))).dictionary_encode()
+    table, codes = words.rows(enc.dictionary.to_pylist()), enc.indices.to_numpy()
     feature = {k: table[codes, i] for i, k in enumerate(FEATURES)}
     line = np.searchsorted(begin, w_from, "right") - 1
-    long = size > _LONG
-    feature["chars"] = np.where(long, size, feature["chars"])
-    feature["letters"] = np.where(long, size * 3 // 4, feature["letters"])
     by = lambda k: _sums(feature[k], line, m)
     count = np.bincount(line, minlength=m)
     full = count > 0

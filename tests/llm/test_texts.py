@@ -135,6 +135,18 @@ def test_statistics_by_brute_force():
             assert got["length_autocorrelation"] == pytest.approx((x[1:] * x[:-1]).sum() / (x * x).sum())
 
 
+def test_long_words_are_described_exactly():
+    rule, cell, name, chinese = "-" * 75, "<tr><td>1.2</td><td>" + "é" * 40 + "</td></tr>.", "x" * 65 + "!", "我们在夜里之前测量了河流的模型并且把它和山谷的地图进行了比较因为水位很高。"
+    for text in (rule, cell, name, chinese, f"a {rule}\n{cell} b {name}\n" + "9" * 70):
+        got = stats(text)[0]
+        signs = "".join(text.split())
+        assert got["letter_ratio"] == pytest.approx(sum(map(str.isalpha, signs)) / len(signs))
+        assert got["symbol_ratio"] == pytest.approx(sum(not c.isalnum() for c in signs) / len(signs))
+        assert got["mean_word_length"] == pytest.approx(len(signs) / len(text.split()))
+    found = stats(chinese, f"{chinese}\n{chinese}\n", rule, name)
+    assert [g["prose_share"] for g in found] == [1, 1, 0, 0] and [g["punctuated_share"] for g in found] == [1, 1, 0, 1]
+
+
 def test_texts_do_not_touch_each_other():
     texts = [PROSE, CODE, None, "", " \n\t", TABLE, "no break at the end", LIST, "\n" + HEAP, TSV.rstrip("\n"), "river\tx"]
     together = stats(*texts)
