@@ -10,14 +10,25 @@ Layout signals, after which lines and documents are told apart:
 * vertical delimiter alignment: a bar, tab or gap of spaces at the same column of
   the line above or below; two of them make a table row;
 * indentation periodicity: the share of indented lines at a multiple of the
-  document's step of 2 or 4;
+  document's step of 2 or 4 (4 if over three quarters of its evenly indented
+  lines are at multiples of 4; a tab counts as 4);
 * line-length autocorrelation: of each line's length with the next one's.
 
 Lines are candidates for prose if they are mostly words and neither headings, list
 items, table rows, cell marks nor log lines. Adjacent candidates form a block, and
 a block is running sentences if function words have the share they have in
 sentences and articles are followed by what can follow them; heaps of words fail
-one or the other.
+one or the other. Whatever its words, a block of which at most a quarter of the
+lines end in closing punctuation is a list without marks if
+
+* it is nested: of 3 and more lines, all indented by multiples of the step, the
+  indentation changes twice and more, and grows after a line that is no
+  sentence's end (where prose indents paragraphs, it grows after an end); or
+* it alternates: its 6 and more lines are by turns below and above their mean
+  length, below it first (a wrapped sentence has its short line last); the length
+  autocorrelation is at least three quarters of that of a strict change between
+  two lengths, and the deviation a third of the mean (short lines half as long as
+  long ones). Lines of one sentence each fail one of these but by rare chance.
 
 Defined results: a null, empty or blank text has no lines; its counts are 0, its
 ratios null and its kind `blank`. Lines end at LF or CR. Texts are never cut.
@@ -216,7 +227,11 @@ def describe(texts: pa.Array, words: Words) -> dict[str, np.ndarray]:
     bars = np.bincount(d_line[(data[spot] == 124)], minlength=m)
     tabs = np.bincount(d_line[(data[spot] == 9)], minlength=m)
     straight = _sums(aligned, d_line, m)
-    indent = np.where(full, text_from - begin, 0)
+    lead_tabs = np.concatenate([[0], np.cumsum(data == 9)])
+    indent = np.where(full, text_from - begin + 3 * (lead_tabs[text_from] - lead_tabs[begin]), 0)
+    even, fours = (np.bincount(doc[(indent > 0) & (indent % x == 0)], minlength=n) for x in (2, 4))
+    regular = indent % np.where(fours > 0.75 * even, 4, 2)[doc] == 0
+    lengths = np.where(full, finish - begin, 0).astype(float)
     beside = np.zeros(m, bool)  # as many tabs, or commas or semicolons without a space, as a line next to it
     for sign in (tabs, _tight(data, 44, begin, m), _tight(data, 59, begin, m)):
         like = (sign[1:] > 0) & (sign[1:] == sign[:-1]) & (doc[1:] == doc[:-1])
@@ -231,7 +246,7 @@ def describe(texts: pa.Array, words: Words) -> dict[str, np.ndarray]:
     opens = able & ~(np.concatenate([[False], able[:-1]]) & (np.concatenate([[-1], doc[:-1]]) == doc))
     block = np.cumsum(opens) - 1
     k = int(block[-1]) + 1 if m and opens.any() else 0
-    running = np.zeros(m, bool)
+    running, listed = np.zeros(m, bool), np.zeros(m, bool)
     if k:
         own = block[able]
         s = lambda v: _sums(v[able], own, k)
@@ -240,18 +255,29 @@ def describe(texts: pa.Array, words: Words) -> dict[str, np.ndarray]:
         rows, ended = s(full.astype(float)), s(punct.astype(float))
         short = w + e < np.where(rows >= 3, 6.2, np.where(ended > 0, 5, 7)) * rows  # items without a mark
         good = (~short & (w >= 5) & (c >= 0.17 * w) & (c <= 0.72 * w) & (u <= 0.25 * a + 0.3) & (h <= 0.22 * w + 1) & ((a > 0) | (w < 15)) & (e <= 0.8 * w + 1)) | eastern
-        running[able] = good[own]
+        inside = np.zeros(m, bool)  # lines with one of their block before them
+        inside[1:] = able[1:] & ~opens[1:]
+        before = np.concatenate([[0], indent[:-1]])
+        changes, deeper = s(inside & (indent != before)), s(inside & (indent > before) & ~np.concatenate([[False], punct[:-1]]))
+        nested = (rows >= 3) & (s(regular) == rows) & (changes >= 2) & (deeper > 0)
+        mean = s(lengths) / rows
+        rhythm = np.nan_to_num(_autocorrelation(lengths[able], own, k)) <= -0.75 * (rows - 1) / rows
+        over = np.zeros(m, bool)
+        over[able] = lengths[able] > mean[own]
+        turns = s(inside & (over != np.concatenate([[False], over[:-1]]))) == rows - 1
+        alternates = (rows >= 6) & rhythm & turns & ~over[opens] & (s(lengths**2) / rows >= (1 + 1 / 9) * mean**2)
+        marked = (nested | alternates) & (ended <= 0.25 * rows) & ~eastern
+        running[able], listed[able] = (good & ~marked)[own], marked[own]
     blocks_of = lambda v: _sums(v, doc, n)
-    lengths = np.where(full, finish - begin, 0).astype(float)
     nonblank = np.flatnonzero(full)
     return _report(
         n,
-        lines=blocks_of(full), prose=blocks_of(running), tables=blocks_of(row), lists=blocks_of(item),
-        codes=blocks_of(full & ~row & ~item & ~running & ((code > 0.3 * count) | mark)),
+        lines=blocks_of(full), prose=blocks_of(running), tables=blocks_of(row), lists=blocks_of(item | listed),
+        codes=blocks_of(full & ~row & ~item & ~running & ~listed & ((code > 0.3 * count) | mark)),
         words=_sums(count, doc, n), letters=_sums(by("letters"), doc, n), chars=_sums(by("chars"), doc, n), symbols=_sums(by("symbols"), doc, n),
         ends=blocks_of(punct), common=_sums(common, doc, n),
         aligned=_sums(straight, doc, n), delimiters=_sums(np.bincount(d_line, minlength=m), doc, n),
-        indented=blocks_of(full & (indent > 0)), periodic=blocks_of(full & (indent > 0) & (indent % 2 == 0)),
+        indented=blocks_of(full & (indent > 0)), periodic=blocks_of(full & (indent > 0) & regular),
         auto=_autocorrelation(lengths[nonblank], doc[nonblank], n),
     )
 

@@ -147,6 +147,24 @@ def test_long_words_are_described_exactly():
     assert [g["prose_share"] for g in found] == [1, 1, 0, 0] and [g["punctuated_share"] for g in found] == [1, 1, 0, 1]
 
 
+NESTED = "the plants that grow in the garden of the house\n    a tree that is as old as the house\n    the roses that we had before the war\nthe animals that you can see in the valley\n    the fox that is in the wood at night\n    a bird of the lake and of the river\n"
+TERMS = "".join(f"the {x} near a valley\n" + f"the {y} of the western valley that most visitors see before a dark night\n" for x, y in (("lake", "water"), ("river", "stream"), ("hill", "slope")))
+PARAGRAPHS = "    The value of the station is wide and we wait for the\nnext reading of the sensor before the end of the day,\nas the plan of the team is to keep the station open in\nthe first week of the year.\n" * 3
+
+
+def test_layout_alone_tells_lists():
+    flat = "".join(x.strip() + "\n" for x in NESTED.splitlines())
+    long_first = "".join(TERMS.splitlines(True)[i ^ 1] for i in range(6))
+    found = stats(NESTED, NESTED.replace("    ", "\t"), NESTED.replace("    ", "  "), TERMS, flat, long_first, PARAGRAPHS, NESTED.replace("\n", ".\n"), TERMS.replace("\n", ".\n"), NESTED.replace("    ", "   "))
+    assert [(g["kind"], g["prose_share"]) for g in found] == [("list", 0)] * 4 + [("prose", 1)] * 6
+    assert [g["list_lines"] for g in found[:4]] == [6] * 4
+
+
+def test_periodicity_follows_the_step_of_the_document():
+    step = lambda *indents: stats("".join(" " * i + "x\n" for i in indents))[0]["indent_periodicity"]
+    assert step(0, 4, 8, 4, 8, 12, 6) == pytest.approx(5 / 6) and step(0, 2, 4, 6, 3) == pytest.approx(3 / 4)
+
+
 def test_texts_do_not_touch_each_other():
     texts = [PROSE, CODE, None, "", " \n\t", TABLE, "no break at the end", LIST, "\n" + HEAP, TSV.rstrip("\n"), "river\tx"]
     together = stats(*texts)
