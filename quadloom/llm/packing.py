@@ -11,10 +11,12 @@ capacity, never by the number of items:
    capacity, prices the column of greatest weighted volume; it is taken as often as
    its scarcest class allows, and the weights of its classes shrink by
    exp(-rate * share covered). A class that is covered leaves the program, so that
-   there are at most as many rounds as classes.
+   there are at most as many rounds as classes, which are the exact lengths. Over
+   a capacity of 1,024 the knapsack works on a coarser grid, and the room lost by
+   its rounding is filled again by an exact subset sum over the true lengths.
 3. The solution is rounded down; what it leaves over is packed by repeated
-   best-fit patterns, of which there are again at most as many as classes, and
-   rests of containers are not reopened.
+   best-fit patterns, each the largest item and the exact best fill of its rest, of
+   which there are again at most as many as classes.
 
 Then the items are dealt to the planned places. An item's rank among those of its
 length is its rank within its task plus the counts of the tasks before, so that a
@@ -41,10 +43,9 @@ from quadloom.runtime import cut_lineage
 
 @dataclass
 class Plan:
-    """`patterns`: (classes, copies of each, containers); lengths belong to class ceil(length / unit)."""
+    """`patterns`: (lengths, copies of each, containers)."""
 
     capacity: int
-    unit: int
     patterns: list[tuple[np.ndarray, np.ndarray, int]] = field(default_factory=list)
 
     @property
@@ -78,64 +79,119 @@ def _price(sizes: np.ndarray, values: np.ndarray, most: np.ndarray, room: int) -
     return copies
 
 
+def _exact_fill(sizes: np.ndarray, most: np.ndarray, room: int) -> np.ndarray:
+    """Copies of each size, at most `most` each, whose sum comes closest to `room`; large sizes first.
+
+    The sums in reach are the bits of an integer. It ends when the room is full; the
+    bits kept for the way back are bounded, which matters for rooms of over 2**16.
+    """
+    copies = np.zeros(len(sizes), np.int64)
+    fit = np.flatnonzero((sizes <= room) & (most > 0))[::-1]
+    if not len(fit):
+        return copies
+    reach, mask, full = 1, (1 << (room + 1)) - 1, 1 << room
+    steps: list[tuple[int, int, int, int]] = []
+    bound = max(64, (1 << 29) // (room + 1))
+    for i, s, limit in zip(fit.tolist(), sizes[fit].tolist(), np.minimum(most[fit], room // sizes[fit]).tolist(), strict=True):
+        q = 1
+        while limit > 0:
+            q = min(q, limit)
+            more = (reach | reach << (q * s)) & mask
+            if more != reach:
+                steps.append((i, q, q * s, reach))
+                reach = more
+            limit -= q
+            q *= 2
+        if reach & full or len(steps) > bound:
+            break
+    at = reach.bit_length() - 1
+    for i, q, width, before in reversed(steps):
+        if not before >> at & 1:
+            copies[i] += q
+            at -= width
+    return copies
+
+
+def _column(sizes: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int, unit: int) -> np.ndarray:
+    """Copies of each size in a fill of `capacity` of great value: priced on a grid of `unit`, then filled up exactly."""
+    if unit == 1:
+        return _price(sizes, values, most, capacity)
+    grid, of = np.unique(-(-sizes // unit), return_inverse=True)
+    stock = np.bincount(of, weights=most).astype(np.int64)
+    chosen = _price(grid, np.bincount(of, weights=values * most) / stock, stock, capacity // unit)
+    copies = np.zeros(len(sizes), np.int64)
+    for c in np.flatnonzero(chosen):
+        left = int(chosen[c])
+        own = np.flatnonzero(of == c)
+        for i in own[np.argsort(-most[own], kind="stable")]:
+            copies[i] = min(left, most[i])
+            left -= copies[i]
+    if not copies.any():  # only sizes that are wider than the room by rounding
+        copies[-1] = 1
+    # Some of the smallest items, up to four, make way for an exact fill.
+    best, rest, kept = copies, capacity - int(copies @ sizes), copies.copy()
+    lost, room = rest, rest
+    for _ in range(5):
+        more = kept + _exact_fill(sizes, most - kept, room)
+        if (now := capacity - int(more @ sizes)) < lost:
+            best, lost = more, now
+        inside = np.flatnonzero(kept)
+        if lost == 0 or not len(inside):
+            break
+        kept[inside[0]] -= 1
+        room += int(sizes[inside[0]])
+    return best
+
+
 def solve(counts: dict[int, int], capacity: int, grid: int = 1024, rate: float = 0.5, bias: float = 1.15) -> Plan:
     """The plan for `counts` items of each length from 1 to `capacity`.
 
-    Lengths are rounded up to multiples of capacity / grid, by which the
-    knapsack's cost doesn't depend on the capacity. A `bias` over 1 values large
-    items above their volume, as small ones still fit at the end.
+    The knapsack's grid has at most `grid` steps, by which its cost doesn't depend
+    on the capacity. A `bias` over 1 values large items above their volume, as
+    small ones still fit at the end.
     """
     unit = -(-capacity // grid)
-    plan, room = Plan(capacity, unit), capacity // unit
-    demand = np.zeros(room + 2, np.int64)
-    whole = counts.get(capacity, 0)
-    for length, n in counts.items():
-        if length < capacity:
-            demand[-(-length // unit)] += n
-    if whole:
-        plan.patterns.append((np.array([-1]), np.array([1]), whole))
-    # A class wider than the room by rounding fills a container alone.
-    for s in np.flatnonzero(demand[room + 1 :]) + room + 1:
-        plan.patterns.append((np.array([s]), np.array([1]), int(demand[s])))
-        demand[s] = 0
-    sizes = np.flatnonzero(demand)
-    need = demand[sizes].astype(float)
+    plan = Plan(capacity)
+    if whole := counts.get(capacity, 0):
+        plan.patterns.append((np.array([capacity]), np.array([1]), whole))
+    sizes = np.array(sorted(k for k, n in counts.items() if k < capacity and n > 0), np.int64)
+    demand = np.array([counts[k] for k in sizes.tolist()], np.int64)
+    need = demand.astype(float)
+    volume = sizes.astype(float) ** bias
     covered = np.zeros(len(sizes))
-    columns: dict[bytes, float] = {}
+    columns: dict[tuple[bytes, bytes], float] = {}
     while len(open_ := np.flatnonzero(covered < 1 - 1e-9)):
         weight = np.exp(-rate * covered[open_])
-        copies = np.zeros(len(sizes), np.int64)
-        copies[open_] = _price(sizes[open_], sizes[open_].astype(float) ** bias * weight, np.ceil((1 - covered[open_]) * need[open_]).astype(np.int64), room)
-        used = copies > 0
-        amount = float(np.min((1 - covered[used]) * need[used] / copies[used]))
-        columns[copies.tobytes()] = columns.get(copies.tobytes(), 0.0) + amount
-        covered += copies * amount / need
-    left = demand[sizes].copy()
-    for key, amount in columns.items():
-        copies = np.frombuffer(key, np.int64)
-        used = copies > 0
-        times = int(min(np.floor(amount + 1e-6), np.min(left[used] // copies[used])))
+        copies = _column(sizes[open_], volume[open_] * weight, np.ceil((1 - covered[open_]) * need[open_]).astype(np.int64), capacity, unit)
+        used = open_[copies > 0]
+        copies = copies[copies > 0]
+        amount = float(np.min((1 - covered[used]) * need[used] / copies))
+        key = (used.tobytes(), copies.tobytes())
+        columns[key] = columns.get(key, 0.0) + amount
+        covered[used] += copies * amount / need[used]
+    left = demand.copy()
+    for (where, each), amount in columns.items():
+        used, copies = np.frombuffer(where, np.int64), np.frombuffer(each, np.int64)
+        times = int(min(np.floor(amount + 1e-6), np.min(left[used] // copies)))
         if times > 0:
-            plan.patterns.append((sizes[used], copies[used], times))
-            left = left - times * copies
+            plan.patterns.append((sizes[used], copies, times))
+            left[used] -= times * copies
     while len(rest := np.flatnonzero(left)):
-        copies = np.zeros(len(sizes), np.int64)
-        copies[rest] = _fill(sizes[rest], left[rest], room)
-        used = copies > 0
-        times = int(np.min(left[used] // copies[used]))
-        plan.patterns.append((sizes[used], copies[used], times))
-        left = left - times * copies
+        copies = _fill(sizes[rest], left[rest], capacity)
+        used = rest[copies > 0]
+        copies = copies[copies > 0]
+        times = int(np.min(left[used] // copies))
+        plan.patterns.append((sizes[used], copies, times))
+        left[used] -= times * copies
     return plan
 
 
 def _fill(sizes: np.ndarray, left: np.ndarray, room: int) -> np.ndarray:
-    """The largest item and, by the knapsack, what fills the rest of its container best."""
-    first = int(np.argmax(sizes))
+    """The largest item and what fills the rest of its container best."""
     most = left.copy()
-    most[first] -= 1
-    room -= int(sizes[first])
-    copies = _price(sizes, sizes.astype(float), most, room) if room >= sizes.min() else np.zeros(len(sizes), np.int64)
-    copies[first] += 1
+    most[-1] -= 1
+    copies = _exact_fill(sizes, most, room - int(sizes[-1]))
+    copies[-1] += 1
     return copies
 
 
@@ -143,19 +199,10 @@ class Places:
     """Container of the item of each length and rank, by binary search in arrays bounded by the plan."""
 
     def __init__(self, plan: Plan, counts: dict[int, int]):
-        self.capacity, self.unit = plan.capacity, plan.unit
-        room = plan.capacity // plan.unit
-        self.before = np.zeros(plan.capacity + 1, np.int64)  # items of the same class and a smaller length
-        upto: dict[int, int] = {}
-        for length in sorted(counts):
-            c = self.classes(np.array([length]))[0]
-            self.before[length] = upto.get(c, 0)
-            upto[c] = upto.get(c, 0) + counts[length]
-        self.span = 1 + max(upto.values(), default=0)
+        self.span = 1 + max(counts.values(), default=0)
         rows, first, used = [], 0, {}
         for sizes, copies, times in plan.patterns:
             for s, q in zip(sizes.tolist(), copies.tolist(), strict=True):
-                s = room + 2 if s == -1 else s
                 rows.append((s, used.get(s, 0), q, first))
                 used[s] = used.get(s, 0) + q * times
             first += times
@@ -163,13 +210,9 @@ class Places:
         self.keys = np.array([s * self.span + start for s, start, _, _ in rows], np.int64)
         self.start, self.each, self.first = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
 
-    def classes(self, lengths: np.ndarray) -> np.ndarray:
-        return np.where(lengths == self.capacity, self.capacity // self.unit + 2, -(-lengths // self.unit))
-
     def container(self, lengths: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-        rank = self.before[lengths] + ranks
-        at = np.searchsorted(self.keys, self.classes(lengths) * self.span + rank, "right") - 1
-        return self.first[at] + (rank - self.start[at]) // self.each[at]
+        at = np.searchsorted(self.keys, lengths * self.span + ranks, "right") - 1
+        return self.first[at] + (ranks - self.start[at]) // self.each[at]
 
 
 def _local_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

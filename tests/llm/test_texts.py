@@ -71,6 +71,15 @@ def test_plan_is_near_the_bound():
     assert solve(counts, 2048).containers <= 1.01 * bound
 
 
+@pytest.mark.parametrize(
+    ("counts", "capacity"),
+    [({1: 50_000}, 8192), ({9: 30_000, 700: 900, 1500: 400}, 8192), ({8191: 5, 1: 5, 4095: 6, 4097: 6}, 8192), ({1: 3_000_000, 1000: 900, 1025: 900}, 1 << 20)],
+)
+def test_plan_over_the_grid_packs_exact_lengths(counts, capacity):
+    bound = -(-sum(k * n for k, n in counts.items()) // capacity)
+    assert solve(counts, capacity).containers == bound
+
+
 def test_pack_table(spark):
     rng = random.Random(4)
     rows = [(i, rng.randrange(0, 400)) for i in range(700)] + [(10_000, None), (10_001, 0), (10_002, 5_000), (None, 7)] + [(20_000 + i, 33) for i in range(300)]
