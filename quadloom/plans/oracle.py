@@ -78,6 +78,9 @@ def _top(metric: str, value: str) -> str:
 _LOGGED = """select op, doc, triples, bnodes, runtime as ms, status, out_triples, out_bnodes, coalesce(joins, 0) as joins, coalesce(search_depth, 0)::bigint as depth, coalesce(solutions, 0) as solutions
 from run_metrics where op = 'LEAN' and status = 'OK' and runtime >= 0 and doc is not null and triples is not null and bnodes is not null and out_triples is not null and out_bnodes is not null"""
 
+_LOGGED_ALL = """select op, doc, triples, case when op = 'NOBNODES' then 0 else bnodes end as bnodes, runtime as ms, case when op = 'NOBNODES' then 'OK' else status end as status,
+out_triples, out_bnodes, joins, search_depth::bigint as depth, solutions, rounds::bigint as rounds, leaves::bigint as leaves from run_metrics"""
+
 SQL: dict[str, str] = {
     "p5_found": _P5 + "select line_id from bad",
     "rdf_direct_map_orders": _ORDERS,
@@ -92,6 +95,7 @@ union all select '<paths/' || user_id || '/' || seg || '>', '_:e' || event_id, '
 from bench_files where contains(split_part(file_path, '/', -1), '-') and not ends_with(file_path, '.zip')
 and try_cast(split_part(regexp_replace(split_part(file_path, '/', -1), '\.[A-Za-z]+$', ''), '-', -1) as int) is not null""".replace("\\\\", "\\"),
     "run_log_round_trip": _LOGGED,
+    "run_log_round_trip_all": _LOGGED_ALL,
     "ground_split": _GROUND,
     "bnode_link_rows": f"select * from ({_CRAWL}) where starts_with(s, '_:') and starts_with(o, '_:') and s <> o",
     "skolem_iris": "select g, " + ", ".join(f"case when starts_with({c}, '_:') then '<urn:bn:' || substr({c}, 3) || '>' else {c} end as {c}" for c in "so") + f", p from ({_CRAWL})",

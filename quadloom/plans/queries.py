@@ -100,6 +100,13 @@ def run_log_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return run_log.read_rows(run_log.as_lines(typed)).drop("rounds", "leaves")
 
 
+@query
+def run_log_round_trip_all(spark: SparkSession, d: str) -> DataFrame:
+    """All runs, failures and nulls included, written as log lines and read again."""
+    rows = table(spark, d, "run_metrics").withColumnsRenamed({"runtime": "ms", "search_depth": "depth"})
+    return run_log.read_rows(run_log.as_lines(rows.select(*run_log.COLUMNS)))
+
+
 # --- projections, filters, sets ---
 
 

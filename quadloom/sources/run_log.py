@@ -1,10 +1,17 @@
-"""Tab-separated logs of leaning and labelling runs."""
+"""Tab-separated logs of leaning and labelling runs.
+
+Nulls and empty texts are written as NULL, so that no cell is empty: logs of other
+tools double a tab here and there, which reading undoes. A NOBNODES row has 0 blank
+nodes and the status OK, whatever it was made of.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The cell of a null.
+NULL = "\\N"
 #: Columns of a typed log row.
 COLUMNS = ("op", "doc", "triples", "bnodes", "ms", "status", "out_triples", "out_bnodes", "joins", "depth", "solutions", "rounds", "leaves")
 
@@ -27,22 +34,24 @@ def label_rows(stats: DataFrame, triples: DataFrame) -> DataFrame:
 
 def as_lines(rows: DataFrame) -> DataFrame:
     """(value): the log's lines; failures have a negative sixth field and the status after it."""
-    cell = lambda *names: [F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names]
+    shown = lambda c: F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit(NULL))
+    cell = lambda *names: [shown(F.col(n)) for n in names]
     head = cell("op", "doc", "triples", "bnodes", "ms")
-    removed = [(F.col(a) - F.col(b)).cast("string") for a, b in (("triples", "out_triples"), ("bnodes", "out_bnodes"))]
+    removed = [shown(F.col(a) - F.col(b)) for a, b in (("triples", "out_triples"), ("bnodes", "out_bnodes"))]
     lean = F.concat_ws("\t", *head, *cell("out_triples", "out_bnodes", "joins", "depth", "solutions"), *removed)
     label = F.concat_ws("\t", *head, *cell("rounds", "leaves"))
-    failed = F.concat_ws("\t", *head, F.lit("-1"), "status")
-    line = F.when(F.col("op") == "NOBNODES", F.concat_ws("\t", *cell("op", "doc", "triples"), F.lit("0"))).when(F.col("status") != "OK", failed).when(F.col("op") == "LEAN", lean).when(F.col("op") == "LABEL", label).otherwise(F.concat_ws("\t", *head, "status"))
+    failed = F.concat_ws("\t", *head, F.lit("-1"), *cell("status"))
+    none = F.concat_ws("\t", *cell("op", "doc", "triples"), F.lit("0"), F.col("ms").cast("string"))  # a null time has no cell
+    line = F.when(F.col("op") == "NOBNODES", none).when(~F.col("status").eqNullSafe("OK"), failed).when(F.col("op") == "LEAN", lean).when(F.col("op") == "LABEL", label).otherwise(F.concat_ws("\t", *head, "status"))
     return rows.select(line.alias("value"))
 
 
 def read_rows(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Typed rows of log lines; doubled tabs count as one, numbers that aren't are null."""
+    """Typed rows of log lines; doubled tabs count as one, NULL and numbers that aren't are null."""
     t = F.split(F.regexp_replace(line, "\t\t+", "\t"), "\t")
-    at = lambda i: F.get(t, F.lit(i))
+    at = lambda i: F.nullif(F.get(t, F.lit(i)), F.lit(NULL))
     number = lambda i: at(i).try_cast("bigint")
-    bad = (at(0) != "NOBNODES") & (number(5) < 0)
+    bad = F.coalesce((at(0) != "NOBNODES") & (number(5) < 0), F.lit(False))
     lean, label = (at(0) == "LEAN") & ~bad, (at(0) == "LABEL") & ~bad
     status = F.when(bad, at(6)).when(at(0) == "TEST", at(5)).otherwise("OK")
     return lines.select(

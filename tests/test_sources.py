@@ -63,6 +63,28 @@ def test_logs(spark):
     assert got["LEAN", "d2"].status == "Timeout" and got["NOBNODES", "d3"].triples == 12 and got["TEST", "d1"].status == "OKAY"
 
 
+def test_logs_keep_nulls_and_failures(spark):
+    rows = [
+        ("LEAN", "g", 10, 3, None, "OK", 8, 2, 4, 1, 1, None, None), ("LEAN", None, 10, None, 5, "OK", None, 2, None, 1, 1, None, None),
+        ("LABEL", "g", 10, 3, None, "OK", None, None, None, None, None, 2, 1), ("LABEL", "h", None, 3, -7, "OK", None, None, None, None, None, None, 1),
+        ("LEAN", "g", 10, 3, None, "TIMEOUT", None, None, None, None, None, None, None), ("LABEL", "g", 10, None, 4, None, None, None, None, None, None, None, None),
+        ("TEST", "g", None, 3, None, "OK", None, None, None, None, None, None, None), ("TEST", "g", 10, 3, None, "Failure", None, None, None, None, None, None, None),
+        ("NOBNODES", "i", 12, 0, None, "OK", None, None, None, None, None, None, None), ("NOBNODES", "j", 12, 0, 6, "OK", None, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'string' if c in ('op', 'doc', 'status') else 'bigint'}" for c in run_log.COLUMNS))
+    lines = run_log.as_lines(df)
+    assert not any("\t\t" in r.value for r in lines.collect())
+    assert [tuple(r) for r in run_log.read_rows(lines).collect()] == rows
+
+
+def test_batch_log_is_analysed_as_it_was_run(spark, tmp_path):
+    ntriples.write_triples(spark.createDataFrame([("<h>", *r) for r in cycle(3)], SCHEMA), str(tmp_path / "in"), with_graph=True)
+    cli.main(["batch", "-i", str(tmp_path / "in"), "--mode", "BOTH", "-o", str(tmp_path / "log")], spark)
+    got = {r.op: r for r in run_log.read_rows(spark.read.text(str(tmp_path / "log"))).collect()}
+    assert (got["LEAN"].ms, got["LEAN"].out_triples, got["LEAN"].out_bnodes) == (None, 3, 3)
+    assert got["LABEL"].ms is None and got["LABEL"].rounds is not None and got["LABEL"].leaves is not None
+
+
 def test_numbers_within_groups(spark):
     df = spark.createDataFrame([(i % 3 if i % 10 else None, i) for i in range(100)], "k int, i int").repartition(4)
     found = {}
