@@ -18,7 +18,11 @@ Lines are candidates for prose if they are mostly words and neither headings, li
 items, table rows, cell marks nor log lines. Adjacent candidates form a block, and
 a block is running sentences if function words have the share they have in
 sentences and articles are followed by what can follow them; heaps of words fail
-one or the other. Whatever its words, a block of which at most a quarter of the
+one or the other. Where they have not that share, as in languages that
+`common_words` lacks, a block is running sentences if it ends as one, 1 to 10 in 40
+words close a sentence, a fifth are short words in lower case (at most 3 letters),
+and nearly all are words, without signs of code; a sentence of such a language that
+ends without punctuation is not told. Whatever its words, a block of which at most a quarter of the
 lines end in closing punctuation is a list without marks if
 
 * it is nested: of 3 and more lines, all indented by multiples of the step, the
@@ -66,7 +70,7 @@ _DATA_ROW, _HEAD, _LIST, _QUOTE, _MARK, _IMPORT = 1, 2, 3, 4, 5, 6
 _LIST_HEAD = re.compile(r"[-*+•‣◦·]|\(?(?:0{1,3}|[a-z])[.)]")
 _LETTERS = string.ascii_letters.encode()
 _LONG = 64
-FEATURES = ("word", "common", "article", "unfit", "code", "letters", "symbols", "chars", "ends", "head")
+FEATURES = ("word", "common", "article", "unfit", "code", "letters", "symbols", "chars", "ends", "head", "tiny")
 
 
 class Words:
@@ -107,7 +111,8 @@ class Words:
             head = _MARK if not re.match(r"\[[^\W\d_]", bare) else 0
         code = int(bool(_CODE.search(core)) or (not core and bool(_CODE.search(bare))))
         common = int(bool(word) and low in self.common)
-        return (word, common, int(common and low in ARTICLES), int(common and low not in AFTER_ARTICLE), code, letters, symbols, len(text), ends, head)
+        tiny = int(word == 1 and len(core) <= 3 and core == low)
+        return (word, common, int(common and low in ARTICLES), int(common and low not in AFTER_ARTICLE), code, letters, symbols, len(text), ends, head, tiny)
 
     def rows(self, tokens: list[bytes]) -> np.ndarray:
         known = self.known
@@ -267,6 +272,10 @@ def describe(texts: pa.Array, words: Words) -> dict[str, np.ndarray]:
         turns = s(inside & (over != np.concatenate([[False], over[:-1]]))) == rows - 1
         alternates = (rows >= 6) & rhythm & turns & ~over[opens] & (s(lengths**2) / rows >= (1 + 1 / 9) * mean**2)
         marked = (nested | alternates) & (ended <= 0.25 * rows) & ~eastern
+        closes = np.zeros(k, bool)  # by the last line of each block
+        np.put(closes, own, punct[able])
+        stops, tiny = s(by("ends")), s(by("tiny"))
+        good |= ~short & (w >= 8) & (c < 0.17 * w) & closes & (stops >= w / 40) & (stops <= w / 4) & (tiny >= 0.2 * w) & (w >= 0.9 * all_words) & (e <= 0.1 * w)
         running[able], listed[able] = (good & ~marked)[own], marked[own]
     blocks_of = lambda v: _sums(v, doc, n)
     nonblank = np.flatnonzero(full)

@@ -169,6 +169,17 @@ def test_layout_alone_tells_lists():
     assert [g["list_lines"] for g in found[:4]] == [6] * 4
 
 
+def test_sentences_of_other_languages():
+    prose = [
+        "Il fiume che scorre a sud del paese non era mai stato misurato prima di ieri.\nPer ora il lago e il ponte non si vedono, ma di sera si sente il vento.\n",
+        "O rio que passa ao sul da vila nunca foi medido antes de ontem.\nPor ora, o lago e a ponte não se veem, mas à noite ouve-se o vento.\n",
+        "Rzeka, która płynie na południe od wsi, nie była do tej pory mierzona.\nNa razie nie widać ani jeziora, ani mostu, ale w nocy słychać wiatr i las.\n",
+        "Река к югу от села до сих пор не была никем измерена.\nПока не видно ни озера, ни моста, но по ночам в лесу слышен ветер.\n",
+    ]
+    other = ["lago ponte fiume e vento di sera il paese da valle nord sud\nvilla di lago il ponte da fiume e sera vento nord\n", NOUNS.replace("map", "map."), NOUNS.replace(" ", ". "), CODE]
+    assert [g["prose_share"] for g in stats(*prose, *other)] == [1] * 4 + [0] * 4
+
+
 def test_periodicity_follows_the_step_of_the_document():
     step = lambda *indents: stats("".join(" " * i + "x\n" for i in indents))[0]["indent_periodicity"]
     assert step(0, 4, 8, 4, 8, 12, 6) == pytest.approx(5 / 6) and step(0, 2, 4, 6, 3) == pytest.approx(3 / 4)
