@@ -6,9 +6,11 @@ capacity, never by the number of items:
 1. Items longer than the capacity are cut into full pieces and a rest; nothing
    else is split.
 2. The configuration linear program (fewest containers so that every length class
-   is covered; a column is a multiset of lengths that fits) is solved by
-   multiplicative weights: a bounded knapsack, by dynamic programming over the
-   capacity, prices the column of greatest weighted volume; it is taken as often as
+   is covered; a column is a multiset of lengths that fits) is covered greedily with
+   multiplicative weights, not solved to an accuracy: no column is taken back, and
+   the end is no dual gap. Its gap is at most that to the volume bound, which is the
+   dual value of weights in proportion to length. In a round a bounded knapsack, by
+   dynamic programming over the capacity, prices the column of greatest weighted volume; it is taken as often as
    its scarcest class allows, and the weights of its classes shrink by
    exp(-rate * share covered). A class that is covered leaves the program, so that
    there are at most as many rounds as classes, which are the exact lengths. Over
