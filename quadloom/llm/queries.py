@@ -90,6 +90,11 @@ def p8_stats(spark: SparkSession, d: str) -> DataFrame:
     return text_statistics(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"))
 
 
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of every document's text that SQL can count."""
+    return p8_stats(spark, d).select("doc_id", "lines", "words", "mean_word_length", "letter_ratio", "symbol_ratio", "punctuated_share")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents, not blank, in which running sentences make up less than half of the non-blank lines."""
     return p8_stats(spark, d).filter(F.col("prose_share") < 0.5).select("doc_id")
@@ -107,4 +112,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_containers": p7_containers,
     "p8_found": p8_found,
     "p8_stats": p8_stats,
+    "p8_counts": p8_counts,
 }

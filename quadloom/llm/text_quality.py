@@ -16,14 +16,25 @@ Layout signals, after which lines and documents are told apart:
 
 Lines are candidates for prose if they are mostly words and neither headings, list
 items, table rows, cell marks nor log lines. Adjacent candidates form a block, and
-a block is running sentences if function words have the share they have in
-sentences and articles are followed by what can follow them; heaps of words fail
-one or the other. Where they have not that share, as in languages that
-`common_words` lacks, a block is running sentences if it ends as one, 1 to 10 in 40
-words close a sentence, a fifth are short words in lower case (at most 3 letters),
-and nearly all are words, without signs of code; a sentence of such a language that
-ends without punctuation is not told. Whatever its words, a block of which at most a quarter of the
-lines end in closing punctuation is a list without marks if
+a block is running sentences by its word, symbol and punctuation ratios. Letters
+outnumber signs, and then either
+
+* a sixth to three quarters of its words are `common_words`, these are spread as
+  in sentences (at most a third of the pairs of adjacent words within a clause are
+  two of them, or five in six of those that chance would make, or capitals open
+  nine in ten sentences), and clauses don't end on them (at most half of the words
+  before a comma or stop; of 3 and more). Heaps of words fail one of these, as
+  their words follow each other by chance; or
+* it has too few of them, as in languages that `common_words` lacks: it ends as a
+  sentence, 1 to 10 in 40 words close one, nearly all its words are words, without
+  signs of code, and it is written in sentence case (a capital opens each sentence,
+  and few words else) or a fifth are short words in lower case (of at most 3
+  letters). Scripts without spaces between words need a stop for every line or
+  four characters a word. A sentence of such a language that ends without
+  punctuation isn't told.
+
+Whatever its words, a block of which at most a quarter of the lines end in closing
+punctuation is a list without marks if
 
 * it is nested: of 3 and more lines, all indented by multiples of the step, the
   indentation changes twice and more, and grows after a line that is no
@@ -48,29 +59,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from quadloom.llm.tokens import _bytes_of, _small_batches
 
-# Articles and the like of English, German, French and Spanish that a noun or its attribute follows.
-ARTICLES = {
-    "the", "a", "an", "der", "die", "das", "dem", "den", "ein", "eine", "einem", "einer", "le", "la", "les", "un", "une", "el", "los", "las", "una",
-    "each", "this", "its", "dieser", "diese", "jede", "cette", "ce", "cada", "esta", "este", "su", "sus", "ses", "se",
-}
-# Function words that may follow those.
-AFTER_ARTICLE = {"same", "one", "more", "es", "al", "todo", "también", "muy", "plus", "más", "wie", "man", "zu", "nicht", "hier", "auch"}
-
 _EDGE = "“”\"'«»„‚‘’()[]¿¡*_~.,;:!?…—–-`​﻿"
-_WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
-_CASE = re.compile(r"[^\W\d_]?[^\W\d_A-ZÀ-Ý]*(?:['’\-][^\W\d_]+)*|[A-ZÀ-Ý]{1,6}")
+_WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’\-\u200c][\p{L}\p{M}]+)*")
+_CASE = regex.compile(r"[\p{L}\p{M}]?[\p{Ll}\p{Lo}\p{Lm}\p{M}]*(?:['’\-\u200c][\p{L}\p{M}]+)*|\p{Lu}{1,6}")
+#: Ends of sentences, of the Latin, Greek, East Asian, Indic, Arabic, Armenian and Ethiopic scripts.
+_ENDS = (".", "!", "?", "…", "。", "！", "？", "．", "।", "॥", "؟", "۔", "։", "።", "၊", "။", "។")
+_CLAUSE = (*_ENDS, ",", ";", ":", "、", "，", "；", "：", "،", "؛")
 _CODE = re.compile(r"[=(){}\[\];<>|\\/_$#@%^&+~`]|\w[.:]\w")
 _EAST = re.compile(r"[぀-ヿ㐀-鿿가-힯฀-๿]")
 _FAULT = re.compile(r"[A-Za-z]*(?:Error|Exception|Warning):")
 _DATA_ROW, _HEAD, _LIST, _QUOTE, _MARK, _IMPORT = 1, 2, 3, 4, 5, 6
 _LIST_HEAD = re.compile(r"[-*+•‣◦·]|\(?(?:0{1,3}|[a-z])[.)]")
+#: Most of the pairs of words within a clause (or of the pairs that chance would make), and of the words that clauses end on, that are function words in sentences.
+_PAIRED, _BY_CHANCE, _CLOSED_ON = 1 / 3, 5 / 6, 1 / 2
 _LETTERS = string.ascii_letters.encode()
 _LONG = 64
-FEATURES = ("word", "common", "article", "unfit", "code", "letters", "symbols", "chars", "ends", "head", "tiny")
+FEATURES = ("word", "common", "clause", "upper", "code", "letters", "symbols", "chars", "ends", "head", "tiny")
 
 
 class Words:
@@ -95,7 +104,8 @@ class Words:
             word = max(1, east // 2)
         elif east == 0 and word and not core.isascii() and len(core) > 3 and sum(c.isupper() for c in core) > 2:
             word = 0
-        ends = int(bare.rstrip("”\"'»’)*_").endswith((".", "!", "?", "…", "。", "！", "？")))
+        closing = bare.rstrip("”\"'»’)*_」』")
+        ends = int(closing.endswith(_ENDS))
         head = 0
         if bare.startswith("#"):
             head = _HEAD
@@ -112,7 +122,7 @@ class Words:
         code = int(bool(_CODE.search(core)) or (not core and bool(_CODE.search(bare))))
         common = int(bool(word) and low in self.common)
         tiny = int(word == 1 and len(core) <= 3 and core == low)
-        return (word, common, int(common and low in ARTICLES), int(common and low not in AFTER_ARTICLE), code, letters, symbols, len(text), ends, head, tiny)
+        return (word, common, int(closing.endswith(_CLAUSE)), int(core[:1].isupper()), code, letters, symbols, len(text), ends, head, tiny)
 
     def rows(self, tokens: list[bytes]) -> np.ndarray:
         known = self.known
@@ -206,17 +216,8 @@ def describe(texts: pa.Array, words: Words) -> dict[str, np.ndarray]:
     head = np.where(quoted & (count > 1), feature["head"][second] if len(w_from) else 0, head)
     head = np.where(quoted & (head == _QUOTE), 0, head)
     word, common, code = by("word"), by("common"), by("code")
-    article = feature["article"].astype(bool)
-    same = np.zeros(len(w_from), bool)
-    same[:-1] = (line[1:] == line[:-1]) & (feature["ends"][:-1] == 0)
-    follow = np.zeros(len(w_from), bool)
-    follow[:-1] = feature["unfit"][1:].astype(bool)
-    pair = np.zeros(len(w_from), bool)  # two function words, the second no article
-    pair[1:] = same[:-1] & (feature["common"][:-1] & feature["common"][1:] & ~article[1:]).astype(bool)
-    heaped = _sums(pair, line, m)
     imports = (head == _IMPORT) & (_sums(feature["head"] == _IMPORT, line, m) > (feature["word"][at] > 0 if len(w_from) else 0))
     imports |= (head == _IMPORT) & (count <= 4)
-    articles, unfit = _sums(article & same, line, m), _sums(article & same & follow, line, m)
     punct = full & (feature["ends"][np.maximum(last, 0)] == 1) if len(w_from) else full
     # Delimiters: bars, tabs and the ends of gaps of two and more spaces, by their column.
     space = data == 32
@@ -255,11 +256,30 @@ def describe(texts: pa.Array, words: Words) -> dict[str, np.ndarray]:
     if k:
         own = block[able]
         s = lambda v: _sums(v[able], own, k)
-        w, c, a, u, h, e, all_words = s(word), s(common), s(articles), s(unfit), s(heaped), s(code), s(count)
-        eastern = w > 1.5 * all_words  # scripts without spaces count for several words
+        w, c, e, all_words = s(word), s(common), s(code), s(count)
         rows, ended = s(full.astype(float)), s(punct.astype(float))
         short = w + e < np.where(rows >= 3, 6.2, np.where(ended > 0, 5, 7)) * rows  # items without a mark
-        good = (~short & (w >= 5) & (c >= 0.17 * w) & (c <= 0.72 * w) & (u <= 0.25 * a + 0.3) & (h <= 0.22 * w + 1) & ((a > 0) | (w < 15)) & (e <= 0.8 * w + 1)) | eastern
+        # Words in their order, by block: pairs within a clause, and what clauses end on; signs alone close the word before.
+        known, clause, closing, upper = (feature[x].astype(bool) for x in ("common", "clause", "ends", "upper"))
+        sign = feature["symbols"] == feature["chars"]
+        for flag in (clause, closing):
+            flag[:-1] |= sign[1:] & flag[1:]
+        of_word = np.where(able[line], block[line], k)
+        of_word, known, clause, closing, upper = (x[~sign] for x in (of_word, known, clause, closing, upper))
+        b = lambda v: _sums(v, of_word, k + 1)[:k]
+        same = of_word[1:] == of_word[:-1]
+        joined, double, initial = (np.zeros(len(of_word), bool) for _ in range(3))
+        joined[:-1] = same & ~clause[:-1]
+        double[:-1] = joined[:-1] & known[:-1] & known[1:]
+        initial[:1], initial[1:] = True, ~same | closing[:-1]
+        clauses = b(clause)
+        opened = b(initial & upper) >= 0.9 * b(initial)  # by capitals
+        cased = opened & (b(upper & ~initial) <= 0.3 * w)
+        spread = (opened | (b(double) <= b(joined) * np.maximum(_PAIRED, _BY_CHANCE * (c / np.maximum(w, 1)) ** 2) + 1)) & ((clauses < 3) | (b(clause & known) <= _CLOSED_ON * clauses))
+        lettered = s(by("symbols")) <= s(by("letters"))
+        eastern = (w > 1.5 * all_words) & lettered  # scripts without spaces count for several words
+        listed_language = (c >= w / 6) & (c <= 0.75 * w) & (e <= 0.8 * w + 1) & spread
+        good = (~short & (w >= 5) & lettered & listed_language) | eastern
         inside = np.zeros(m, bool)  # lines with one of their block before them
         inside[1:] = able[1:] & ~opens[1:]
         before = np.concatenate([[0], indent[:-1]])
@@ -275,7 +295,7 @@ def describe(texts: pa.Array, words: Words) -> dict[str, np.ndarray]:
         closes = np.zeros(k, bool)  # by the last line of each block
         np.put(closes, own, punct[able])
         stops, tiny = s(by("ends")), s(by("tiny"))
-        good |= ~short & (w >= 8) & (c < 0.17 * w) & closes & (stops >= w / 40) & (stops <= w / 4) & (tiny >= 0.2 * w) & (w >= 0.9 * all_words) & (e <= 0.1 * w)
+        good |= ~short & (w >= 8) & (c < w / 6) & lettered & closes & (stops >= w / 40) & (stops <= w / 4) & (cased | (tiny >= 0.2 * w)) & (w >= 0.9 * all_words) & (e <= 0.1 * w)
         running[able], listed[able] = (good & ~marked)[own], marked[own]
     blocks_of = lambda v: _sums(v, doc, n)
     nonblank = np.flatnonzero(full)

@@ -169,15 +169,37 @@ def test_layout_alone_tells_lists():
     assert [g["list_lines"] for g in found[:4]] == [6] * 4
 
 
-def test_sentences_of_other_languages():
-    prose = [
-        "Il fiume che scorre a sud del paese non era mai stato misurato prima di ieri.\nPer ora il lago e il ponte non si vedono, ma di sera si sente il vento.\n",
-        "O rio que passa ao sul da vila nunca foi medido antes de ontem.\nPor ora, o lago e a ponte não se veem, mas à noite ouve-se o vento.\n",
-        "Rzeka, która płynie na południe od wsi, nie była do tej pory mierzona.\nNa razie nie widać ani jeziora, ani mostu, ale w nocy słychać wiatr i las.\n",
-        "Река к югу от села до сих пор не была никем измерена.\nПока не видно ни озера, ни моста, но по ночам в лесу слышен ветер.\n",
-    ]
-    other = ["lago ponte fiume e vento di sera il paese da valle nord sud\nvilla di lago il ponte da fiume e sera vento nord\n", NOUNS.replace("map", "map."), NOUNS.replace(" ", ". "), CODE]
-    assert [g["prose_share"] for g in stats(*prose, *other)] == [1] * 4 + [0] * 4
+SENTENCES = {
+    "it": "Il fiume che scorre a sud del paese non era mai stato misurato prima di ieri.\nPer ora il lago e il ponte non si vedono, ma di sera si sente il vento.\n",
+    "pt": "O rio que passa ao sul da vila nunca foi medido antes de ontem.\nPor ora, o lago e a ponte não se veem, mas à noite ouve-se o vento.\n",
+    "pl": "Rzeka, która płynie na południe od wsi, nie była do tej pory mierzona.\nNa razie nie widać ani jeziora, ani mostu, ale w nocy słychać wiatr i las.\n",
+    "ru": "Река к югу от села до сих пор не была никем измерена.\nПока не видно ни озера, ни моста, но по ночам в лесу слышен ветер.\n",
+    "el": "Ο ποταμός που κυλά νότια του χωριού δεν είχε μετρηθεί ποτέ πριν από χθες.\nΓια την ώρα δεν φαίνεται ούτε η λίμνη ούτε η γέφυρα, αλλά τη νύχτα ακούγεται ο άνεμος.\n",
+    "fi": "Kylän eteläpuolella virtaavaa jokea ei ollut koskaan aiemmin mitattu ennen eilistä.\nToistaiseksi järveä tai siltaa ei näy, mutta yöllä metsässä kuuluu tuulen humina.\n",
+    "tr": "Köyün güneyinden akan nehir düne kadar hiç ölçülmemişti.\nŞimdilik ne göl ne de köprü görünüyor, ama geceleri ormanda rüzgârın sesi duyuluyor.\n",
+    "ar": "لم يتم قياس النهر الذي يجري جنوب القرية من قبل.\nلا يمكن رؤية البحيرة أو الجسر في الوقت الحالي، ولكن في الليل تسمع الريح من الغابة.\n",
+    "hi": "गाँव के दक्षिण में बहने वाली नदी को कल से पहले कभी नहीं मापा गया था।\nअभी न तो झील दिखाई देती है और न ही पुल, लेकिन रात में जंगल से हवा की आवाज़ आती है।\n",
+    "zh": "我们在夜里之前测量了河流的模型并且把它和山谷的地图进行了比较因为水位很高，所以我们需要继续测量它的宽度和深度。\n" * 3,
+    "ja": "村の南を流れる川は昨日まで一度も測られたことがなかった。今のところ湖も橋も見えないが、夜になると森から風の音が聞こえてくる。\n" * 2,
+    "ko": "마을 남쪽을 흐르는 강은 어제까지 한 번도 측정된 적이 없었다.\n지금은 호수도 다리도 보이지 않지만 밤에는 숲에서 바람 소리가 들린다.\n",
+}
+HEAPS = [
+    "lago ponte fiume e vento di sera il paese da valle nord sud\nvilla di lago il ponte da fiume e sera vento nord\n", NOUNS.replace("map", "map."), NOUNS.replace(" ", ". "), CODE,
+    "река озеро мост село ветер лес модель кривая таблица\nдатчик карта значение река станция модель\n", "река. озеро мост. село ветер. лес модель. кривая таблица.\n",
+    "that is before lake a if not. the for and river with was,\nstation in to of then map you is not. if can a the,\nwe it as the model of before.\nriver before to is lake as.\n",
+]
+
+
+def test_sentences_of_any_language_and_heaps():
+    found = dict(zip(SENTENCES, stats(*SENTENCES.values()), strict=True))
+    assert {k: g["prose_share"] for k, g in found.items()} == dict.fromkeys(SENTENCES, 1)
+    assert [g["prose_share"] for g in stats(*HEAPS)] == [0] * len(HEAPS)
+
+
+def test_sentences_without_stops_in_lower_case_and_after_numbers():
+    lower = "if the lake is too small, then the model explains the station as well\nthe station of the river is wide and we wait for the next reading of it\n"
+    german = "in dieser übung ist das signal zum 4. mal die übung der station\nwir prüfen das signal und die kurve der station vor der nacht\n"
+    assert [g["prose_share"] for g in stats(lower, german, "> " + lower.strip().replace("\n", "\n> "), lower.replace("well", "well ;"))] == [1] * 4
 
 
 def test_periodicity_follows_the_step_of_the_document():
