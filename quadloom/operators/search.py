@@ -3,7 +3,9 @@
 `Chunk` holds the triples of many components at once and refines all of them
 together; components whose colours don't become discrete are then searched one by
 one: the smallest ambiguous class is branched on, each branch is refined again, and
-branches that an automorphism found so far maps to an earlier sibling are skipped.
+branches that an automorphism maps to an earlier sibling are skipped. Automorphisms
+are read off the refined colours of two siblings, so that independent symmetries cost
+a refinement each and not a leaf each, and off the leaves found so far.
 The least leaf graph, by number of triples and then by its sorted triples, wins.
 """
 
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -116,6 +119,33 @@ class Chunk:
             colours, now, count = fresh, after, total
         return colours, count, rounds, broken
 
+    @cached_property
+    def _keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int] | None:
+        """Subject, predicate and object of each triple as numbers, nodes first, how many of these there are, and predicates; none if a triple needs over 63 bits."""
+        terms = np.concatenate([self.hs, self.ho])
+        static = self.n + np.unique(terms, axis=0, return_inverse=True)[1].ravel()
+        s, o = np.where(self.s >= 0, self.s, static[: len(self.s)]), np.where(self.o >= 0, self.o, static[len(self.s) :])
+        p = np.unique(self.hp, axis=0, return_inverse=True)[1].ravel()
+        many, kinds = int(static.max(initial=self.n)) + 1, int(p.max(initial=0)) + 1
+        return (s, p, o, many, kinds) if many * many * kinds < 2**63 else None
+
+    @cached_property
+    def _there(self) -> np.ndarray:
+        s, p, o, many, kinds = self._keys
+        return np.sort((s * kinds + p) * many + o)
+
+    def is_automorphism(self, image: np.ndarray) -> bool:
+        """Does this permutation of the nodes of one component take each triple to a triple?"""
+        if self._keys is None:
+            return False
+        s, p, o, many, kinds = self._keys
+        whole = np.concatenate([image, np.arange(self.n, many)])
+        moved = whole != np.arange(many)
+        rows = np.flatnonzero(moved[s] | moved[o])
+        keys = (whole[s[rows]] * kinds + p[rows]) * many + whole[o[rows]]
+        at = np.minimum(np.searchsorted(self._there, keys), len(self._there) - 1)
+        return bool((self._there[at] == keys).all())
+
     def alone(self, part: int, triples: np.ndarray, nodes: np.ndarray) -> Chunk:
         """The component of `nodes` with `triples` as a chunk of its own."""
         at = np.full(self.n, -1)
@@ -152,7 +182,7 @@ def search(chunk: Chunk, colours: np.ndarray, leaf_of, prune: bool = True, deadl
     blank = rows_of([blank_hash(chunk.scheme)], colours.shape[1])[0]
     leaves: dict = {}
     explored = 0
-    stack = [(colours, (), iter(_cell(colours).tolist()), [], _Orbits(chunk.n))]
+    stack = [(colours, (), iter(_cell(colours).tolist()), {}, _Orbits(chunk.n))]
     status = "OK"
     while stack:
         here, path, siblings, visited, orbits = stack[-1]
@@ -163,27 +193,29 @@ def search(chunk: Chunk, colours: np.ndarray, leaf_of, prune: bool = True, deadl
         if deadline is not None and time.monotonic() > deadline:
             status = "TIMEOUT"
             break
-        if prune and visited and orbits.same(node, visited, path, leaves):
+        if prune and visited and (orbits.same(node, visited, path, leaves) or any(orbits.swaps(chunk, v, node) for v in visited)):
             continue
-        visited.append(node)
         branch = here.copy()
         branch[node] = fold(branch[node], blank)
         stable, count, r, broken = chunk.refine(branch)
         rounds += int(r[0])
         if broken[0]:
             return Found(stable, "COLLISION", rounds, explored, len(leaves))
+        if prune and any(orbits.maps(chunk, here, v, node, seen, stable) for v, seen in visited.items()):
+            continue
+        visited[node] = stable
         if count[0] == chunk.n:
             explored += 1
             leaves.setdefault(leaf_of(stable), []).append(stable)
         else:
-            stack.append((stable, (*path, node), iter(_cell(stable).tolist()), [], _Orbits(chunk.n)))
+            stack.append((stable, (*path, node), iter(_cell(stable).tolist()), {}, _Orbits(chunk.n)))
     if not leaves:
         return Found(colours, status, rounds, explored, 0)
     return Found(leaves[min(leaves)][0], status, rounds, explored, len(leaves))
 
 
 class _Orbits:
-    """Nodes that automorphisms fixing one path map to each other, as far as leaves seen tell."""
+    """Nodes that automorphisms fixing one path map to each other, as far as siblings and leaves seen tell."""
 
     def __init__(self, n: int):
         self.root = list(range(n))
@@ -195,7 +227,31 @@ class _Orbits:
             x = self.root[x]
         return x
 
-    def same(self, node: int, visited: list[int], path: tuple[int, ...], leaves: dict) -> bool:
+    def swaps(self, chunk: Chunk, a: int, b: int) -> bool:
+        """Is it an automorphism to swap two nodes of a class and nothing else?"""
+        image = np.arange(chunk.n)
+        image[[a, b]] = b, a
+        return chunk.is_automorphism(image) and self._join(image)
+
+    def maps(self, chunk: Chunk, here: np.ndarray, a: int, b: int, at_a: np.ndarray, at_b: np.ndarray) -> bool:
+        """Is there an automorphism that keeps the colours `here` and takes `a` to `b`, as the colours refined from each suggest?
+
+        Nodes of one colour are matched in order, so that classes that both
+        siblings leave alone stay in place. A no may be wrong.
+        """
+        before, after = (np.lexsort(tuple(reversed(words(x)))) for x in (at_a, at_b))
+        if not np.array_equal(at_a[before], at_b[after]):
+            return False
+        image = np.empty(chunk.n, np.int64)
+        image[before] = after
+        return bool(image[a] == b) and np.array_equal(here[image], here) and chunk.is_automorphism(image) and self._join(image)
+
+    def _join(self, image: np.ndarray) -> bool:
+        for a in np.flatnonzero(image != np.arange(len(image))).tolist():
+            self.root[self.find(a)] = self.find(int(image[a]))
+        return True
+
+    def same(self, node: int, visited: dict[int, np.ndarray], path: tuple[int, ...], leaves: dict) -> bool:
         if any(self.find(node) == self.find(v) for v in visited):
             return True
         for leaf, found in leaves.items():

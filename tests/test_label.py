@@ -176,3 +176,17 @@ def test_collisions_are_mended():
     stable, count, _, broken = chunk.refine(start)
     assert not broken.any() and count.tolist() == [2, 2]
     assert (stable[1] == stable[2]).all() and (stable[0] != stable[1]).any() and (stable[3] != stable[4]).any()
+
+
+def test_independent_symmetries_cost_no_leaf_each(spark):
+    def hub(n):
+        arms = [(i, x) for i in range(n) for x in "ab"]
+        return [r for i, x in arms for r in (("_:hub", f"<p{i}>", f"_:{x}{i}"), (f"_:{x}{i}", "<next>", f"_:{x}{i}y"))] + [("_:hub", "<leaf>", f"_:leaf{i}") for i in range(n)]
+
+    rows = [("large", *r) for r in hub(30)] + [("small", *r) for r in hub(3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = canonicalise(df)
+    stats, hashes = {r.g: r for r in found.stats.collect()}, {r.g: r.ghash for r in found.graphs.collect()}
+    assert {g: (r.leaves, r.status) for g, r in stats.items()} == {"large": (1, "OK"), "small": (1, "OK")}
+    assert {r.g: r.ghash for r in canonicalise(graphs.renamed(df, 3)).graphs.collect()} == hashes
+    assert {r.ghash for r in canonicalise(df.filter("g = 'small'"), prune=False).graphs.collect()} == {hashes["small"]}
