@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.functions.terms import is_bnode
+from quadloom.operators.contain import MOST, contained_sets, edge_sets
 from quadloom.runtime import cut_lineage, release
 
 _SEP = "\u0001"
@@ -28,18 +29,21 @@ def node_edges(triples: DataFrame) -> DataFrame:
     return triples.select("g", both.alias("x")).select("g", "x.node", "x.e").distinct()
 
 
-def ground_edges(triples: DataFrame, fixed: DataFrame) -> DataFrame:
-    """(g, node, e): edges whose neighbour is no unfixed blank node, and one edge to ANY for each direction and predicate."""
+def _known_ends(triples: DataFrame, fixed: DataFrame) -> DataFrame:
+    """(g, node, sign, p, v, known): both ends of each triple, and whether the neighbour `v` is no unfixed blank node."""
     f = fixed.select("g", F.col("bnode").alias("v"), F.lit(True).alias("is_fixed"))
     ends = F.explode(F.array(
         F.struct(F.lit("+").alias("sign"), F.col("s").alias("node"), F.col("o").alias("v")),
         F.struct(F.lit("-").alias("sign"), F.col("o").alias("node"), F.col("s").alias("v")),
     ))
-    all_edges = triples.select("g", "p", ends.alias("x")).select("g", "p", "x.*").join(f, ["g", "v"], "left")
-    known = ~is_bnode("v") | F.col("is_fixed").isNotNull()
-    return all_edges.select(
-        "g", "node", F.explode(F.when(known, F.array(F.concat("sign", "p", F.lit(_SEP), "v"), F.concat("sign", "p", F.lit(_SEP + ANY)))).otherwise(F.array(F.concat("sign", "p", F.lit(_SEP + ANY))))).alias("e")
-    ).distinct()
+    all_ends = triples.select("g", "p", ends.alias("x")).select("g", "p", "x.*").join(f, ["g", "v"], "left")
+    return all_ends.select("g", "node", "sign", "p", "v", (~is_bnode("v") | F.col("is_fixed").isNotNull()).alias("known"))
+
+
+def ground_edges(triples: DataFrame, fixed: DataFrame) -> DataFrame:
+    """(g, node, e): edges whose neighbour is no unfixed blank node, and one edge to ANY for each direction and predicate."""
+    own, some = F.concat("sign", "p", F.lit(_SEP), "v"), F.concat("sign", "p", F.lit(_SEP + ANY))
+    return _known_ends(triples, fixed).select("g", "node", F.explode(F.when(F.col("known"), F.array(own, some)).otherwise(F.array(some))).alias("e")).distinct()
 
 
 def edge_signatures(edges: DataFrame) -> DataFrame:
@@ -57,20 +61,22 @@ def rarest_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.groupBy("g", F.col("node").alias("bnode")).agg(F.min_by("e", F.struct("n", "e")).alias("e"), F.count(F.lit(1)).alias("degree"), F.min("n").alias("n"))
 
 
-def contained_in(edges: DataFrame, nodes: DataFrame, degrees: DataFrame | None = None) -> DataFrame:
+def contained_in(edges: DataFrame, nodes: DataFrame, degrees: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
     """(g, bnode, term): terms, other than itself, whose edges include all edges of the node of `nodes`.
 
     Candidates share the node's rarest edge; they stay if as many of the node's
     edges are found with them as it has. A node with an edge that no other has is
-    done at once. `degrees` (g, node, degree) asks for strictly more edges.
+    done at once. `degrees` (g, node, degree) asks for strictly more edges; `terms`
+    (g, node) are the only terms looked at.
     """
+    held = (edges if terms is None else edges.join(terms, ["g", "node"], "left_semi")).withColumnRenamed("node", "term")
     rare = rarest_edges(edges, nodes).filter(F.col("n") > 1).drop("n")
-    pairs = rare.join(edges.withColumnRenamed("node", "term"), ["g", "e"]).filter(F.col("term") != F.col("bnode")).select("g", "bnode", "term", "degree")
+    pairs = rare.join(held, ["g", "e"]).filter(F.col("term") != F.col("bnode")).select("g", "bnode", "term", "degree")
     if degrees is not None:
         other = degrees.select("g", F.col("node").alias("term"), F.col("degree").alias("other"))
         pairs = pairs.join(other, ["g", "term"]).filter(F.col("other") > F.col("degree")).drop("other")
     wanted = pairs.join(edges.withColumnRenamed("node", "bnode"), ["g", "bnode"])
-    there = wanted.join(edges.withColumnRenamed("node", "term"), ["g", "term", "e"], "left_semi")
+    there = wanted.join(held, ["g", "term", "e"], "left_semi")
     return there.groupBy("g", "bnode", "term", "degree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == F.col("degree")).select("g", "bnode", "term")
 
 
@@ -121,27 +127,49 @@ def redundant(triples: DataFrame, changed: DataFrame | None = None) -> DataFrame
     return equal.unionByName(best)
 
 
+def _others(triples: DataFrame, fixed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(g, bnode, term): candidates of the unfixed blank nodes other than themselves; those nodes (g, bnode); the table that both read."""
+    hashed = lambda *c: F.xxhash64("g", "sign", "p", *c)
+    ends = _known_ends(triples, fixed).select("g", "node", F.when(F.col("known"), hashed(F.col("v"))).alias("known"), hashed(F.lit(ANY)).alias("any"))
+    sets = cut_lineage(edge_sets(ends))
+    free = sets.filter(is_bnode("node")).select("g", F.col("node").alias("bnode")).join(fixed.select("g", "bnode"), ["g", "bnode"], "left_anti")
+    found = contained_sets(sets)
+    large = sets.filter(F.size("e") > MOST).select("g", "node")
+    if not large.isEmpty():
+        found = found.unionByName(contained_in(cut_lineage(ground_edges(triples, fixed)), free, terms=large))
+    return found.join(fixed.select("g", "bnode"), ["g", "bnode"], "left_anti"), free, sets
+
+
 def candidates(triples: DataFrame, fixed: DataFrame) -> DataFrame:
     """(g, bnode, term): what each unfixed blank node could map to as far as known edges tell, itself included."""
-    from quadloom.operators.graphs import bnodes
-
-    free = bnodes(triples).join(fixed.select("g", "bnode"), ["g", "bnode"], "left_anti")
-    found = contained_in(cut_lineage(ground_edges(triples, fixed)), free)
-    return found.unionByName(free.select("g", "bnode", F.col("bnode").alias("term")))
+    others, free, _ = _others(triples, fixed)
+    return others.unionByName(free.select("g", "bnode", F.col("bnode").alias("term")))
 
 
 def fix_bnodes(triples: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Candidates of the unfixed blank nodes, and the fixed ones (g, bnode).
 
     A blank node with no candidate but itself is fixed; its edges then count as
-    known for its neighbours, which may fix them, until nothing changes.
+    known for its neighbours, which may fix them, until nothing changes. Nothing
+    can change where no unfixed blank node is linked to one just fixed.
     """
+    from quadloom.operators.graphs import bnode_links
+
     fixed = triples.select("g", F.col("s").alias("bnode")).filter(F.lit(False))
+    links = cut_lineage(bnode_links(triples))
+    near = links.select("g", F.col("s").alias("bnode"), F.col("o").alias("far")).unionByName(links.select("g", F.col("o").alias("bnode"), F.col("s").alias("far")))
+    linked = not links.isEmpty()
     done = 0
     while True:
-        found = cut_lineage(candidates(triples, fixed))
-        alone = found.groupBy("g", "bnode").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 1).select("g", "bnode")
+        others, free, sets = _others(triples, fixed)
+        others = cut_lineage(others)
+        alone = cut_lineage(free.join(others.select("g", "bnode"), ["g", "bnode"], "left_anti"))
+        release(sets)
         done += 1
-        if alone.isEmpty() or done == max_rounds:
+        found = others.unionByName(others.select("g", "bnode").distinct().unionByName(alone).select("g", "bnode", F.col("bnode").alias("term")))
+        if done == max_rounds or alone.isEmpty():
             return found, fixed
-        fixed = cut_lineage(fixed.unionByName(alone))
+        fixed = cut_lineage(fixed.unionByName(alone)) if done > 1 else alone
+        changed = near.join(alone, ["g", "bnode"], "left_semi").select("g", F.col("far").alias("bnode"))
+        if not linked or changed.join(fixed, ["g", "bnode"], "left_anti").isEmpty():
+            return others.unionByName(others.select("g", "bnode").distinct().select("g", "bnode", F.col("bnode").alias("term"))), fixed

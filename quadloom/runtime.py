@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +67,18 @@ def _shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Delete the shuffle files of each action as soon as it ends; else they stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared checkpoint folder and go on from its files.
 
@@ -73,7 +87,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     serialised rows. `release` deletes a table that a later round has replaced.
     """
     path = f"{_shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     cut = df.sparkSession.read.schema(df.schema).parquet(path)
     cut._cut_path = path
     return cut

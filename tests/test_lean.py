@@ -1,13 +1,16 @@
 import itertools
 import random
+import time
+from pathlib import Path
 
 import pytest
 
-from quadloom.operators import graphs
+from quadloom.operators import edges, graphs
 from quadloom.operators.core import best_solutions, solutions
 from quadloom.operators.edges import candidates, fix_bnodes, node_edges, rarest_edges
 from quadloom.operators.label import canonicalise
 from quadloom.operators.lean import lean, lean_trivially
+from quadloom.runtime import cut_lineage
 from tests.test_label import FAMILIES, SCHEMA, both, clique, cycle, grid, rows_of, shuffled
 
 PATH = [(f"_:n{i}", "<p>", f"_:n{i + 1}") for i in range(4)]
@@ -104,3 +107,28 @@ def test_empty_and_timeout(spark):
     rows = [("G", *r) for r in both(cycle(6))]
     found = lean(spark.createDataFrame(rows, SCHEMA), timeout=-1.0)
     assert found.stats.first().status == "TIMEOUT" and rows_of(found.triples) == set(rows)
+
+
+def test_fixing_ends_where_nothing_is_linked(spark, monkeypatch):
+    """No second look at all sets where no blank node is linked to a fixed one."""
+    looks = []
+    once = edges._others
+    monkeypatch.setattr(edges, "_others", lambda *a: looks.append(1) or once(*a))
+    rows = [("G", "_:a", "<p>", '"1"'), ("G", "_:b", "<p>", '"1"'), ("G", "_:b", "<q>", '"2"'), ("G", "_:c", "<n>", '"3"'), ("G", "_:d", "<n>", "_:e"), ("G", "_:e", "<p>", '"4"')]
+    can, fixed = fix_bnodes(spark.createDataFrame(rows[:4], SCHEMA))
+    assert {r.bnode for r in fixed.collect()} == {"_:b", "_:c"} and {(r.bnode, r.term) for r in can.collect()} == {("_:a", "_:a"), ("_:a", "_:b")}
+    assert len(looks) == 1
+    can, fixed = fix_bnodes(spark.createDataFrame(rows, SCHEMA))
+    assert {r.bnode for r in fixed.collect()} == {"_:b", "_:c", "_:d", "_:e"} and {r.bnode for r in can.collect()} == {"_:a"}
+
+
+def test_cut_tables_leave_no_shuffle_files(spark):
+    folders = [Path(x.getPath()) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p.name for f in folders for p in f.rglob("shuffle_*.data")}
+    before = files()
+    cut = cut_lineage(spark.range(1000).repartition(4, "id"))
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and cut.count() == 1000
