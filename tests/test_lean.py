@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from quadloom.operators import edges, graphs
+from quadloom.operators import contain, edges, graphs
 from quadloom.operators.core import best_solutions, solutions
 from quadloom.operators.edges import candidates, fix_bnodes, node_edges, rarest_edges
 from quadloom.operators.label import canonicalise
@@ -109,6 +109,30 @@ def test_empty_and_timeout(spark):
     assert found.stats.first().status == "TIMEOUT" and rows_of(found.triples) == set(rows)
 
 
+def candidates_of(rows, fixed):
+    """What each unfixed blank node of a graph could map to, by comparing all edge sets."""
+    known = lambda t: not t.startswith("_:") or t in fixed
+    sets = {}
+    for s, p, o in rows:
+        for sign, node, v in (("+", s, o), ("-", o, s)):
+            sets.setdefault(node, set()).update([(sign, p, None)] + [(sign, p, v)] * known(v))
+    return {(a, b) for a in sets for b in sets if a.startswith("_:") and a not in fixed and sets[a] <= sets[b]}
+
+
+@pytest.mark.parametrize("limits", [{}, {"TOGETHER": 2, "BLOCK": 3}, {"KNOWN": 1}], ids=str)
+def test_candidates_are_those_of_all_pairs(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(contain, name, value)
+    hub = [(f"_:{x}", "<p>", f"<u{i}>") for x, n in (("m", 40), ("n", 50), ("k", 31), ("l", 32)) for i in range(n)]
+    same = [(f"_:t{i}", "<p>", f"<u{i % 2}>") for i in range(9)] + [("<s>", "<p>", "<u0>"), ("<s>", "<p>", "<u1>")]
+    families = RANDOM | {"hub": hub, "same": same, "both": hub + same, "half": PATH + both(PATH)}
+    df = spark.createDataFrame([(g, *r) for g, family in families.items() for r in family], SCHEMA)
+    for fixed in (set(), {"_:b0", "_:n1", "_:m"}):
+        got = candidates(df, spark.createDataFrame([(g, x) for g in families for x in fixed], "g string, bnode string")).collect()
+        assert len(got) == len(set(got))
+        assert {(r.g, r.bnode, r.term) for r in got} == {(g, *x) for g, family in families.items() for x in candidates_of(family, fixed)}
+
+
 def test_fixing_ends_where_nothing_is_linked(spark, monkeypatch):
     """No second look at all sets where no blank node is linked to a fixed one."""
     looks = []
