@@ -1,8 +1,9 @@
 """Edge sets of nodes, containment joins between them, and what leaning does with these.
 
 An edge of a node is a string of direction (`+` if the node is the subject),
-predicate and neighbour. Edge sets are never gathered: they are compared by
-mergeable signatures or by counting joined rows, so that a hub is no special case.
+predicate and neighbour. Edge sets are compared by mergeable signatures or by
+counting joined rows, so that a hub is no special case; candidates gather small sets
+(operators.contain).
 """
 
 from __future__ import annotations
