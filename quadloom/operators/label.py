@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -38,13 +39,25 @@ _NODES = "g string, comp string, node string, h string, gh string, triples bigin
 
 @dataclass
 class Labelling:
-    """Canonical triples (g, s, p, o); labels (g, node, label); parts, one row a component; graphs (g, ghash)."""
+    """Canonical triples (g, s, p, o); labels (g, node, label); parts, one row a component; graphs (g, ghash).
 
-    triples: DataFrame
-    labels: DataFrame
+    Labels are made when they or the triples are first asked for; `rows` and `named` are what they are made of.
+    """
+
+    rows: DataFrame
+    named: DataFrame
     parts: DataFrame
     graphs: DataFrame
 
+    @cached_property
+    def labels(self) -> DataFrame:
+        return cut_lineage(self.named)
+
+    @cached_property
+    def triples(self) -> DataFrame:
+        mapping = self.labels.select("g", F.col("node").alias("bnode"), F.concat(F.lit("_:"), "label").alias("term"))
+        return graphs.apply_map(self.rows, mapping)
+
     @property
     def stats(self) -> DataFrame:
         """(g, bnodes, parts, rounds, leaves, distinct_leaves, status) of every graph with blank nodes."""
@@ -214,9 +227,7 @@ def canonicalise(
     by_graph = cut_lineage(by_graph)
     if unique_per_graph:
         colours = colours.join(by_graph, "g").select("g", "node", combine_ordered("h", "ghash").alias("h"))
-    labels = cut_lineage(colours.select("g", "node", F.concat(F.lit("SK00"), "h").alias("label")))
-    mapping = labels.select("g", F.col("node").alias("bnode"), F.concat(F.lit("_:"), "label").alias("term"))
-    return Labelling(graphs.apply_map(rows, mapping), labels, parts, by_graph)
+    return Labelling(rows, colours.select("g", "node", F.concat(F.lit("SK00"), "h").alias("label")), parts, by_graph)
 
 
 def output_labels(labelling: Labelling, prefix: str = "", as_bnode: bool = True) -> DataFrame:
