@@ -8,7 +8,7 @@ are kept; such terms are for `edges.contained_in`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadloom.functions.terms import is_bnode
 from quadloom.operators.groups import codes_of, map_groups
-from quadloom.runtime import shuffles_removed
+from quadloom.runtime import cut_lineage, shuffles_removed
 
 #: Edges of a set that is gathered; frequencies of edges that are kept exactly; terms with one edge that are compared in one place; pairs compared at once.
 MOST, KNOWN, TOGETHER, BLOCK = 32, 1 << 17, 50_000, 1 << 20
@@ -101,6 +102,31 @@ def _pivots(edges: np.ndarray, row: np.ndarray, n: np.ndarray) -> np.ndarray:
 def contained_sets(sets: DataFrame) -> DataFrame:
     """(g, bnode, term): terms of (g, node, e), other than itself, whose edges include all edges of a blank node; of sets up to MOST edges."""
     sets = sets.filter(F.size("e") <= MOST)
+    return _compared(sets, *_frequent_pivots(sets), _compare, "g string, bnode string, term string")
+
+
+def best_supersets(sets: DataFrame) -> DataFrame:
+    """(g, bnode, term, n, equal): of the terms of (g, node, e) whose edges include all edges of a blank node, the best of each place; of sets up to MOST edges.
+
+    Of nodes with equal sets a ground term or else the least stays, and is the best
+    of the others; the best of one that stays has the most edges `n`, then the least name.
+    """
+    sets = sets.filter(F.size("e") <= MOST)
+    keys, counts, wanted = _frequent_pivots(sets)
+    equal = None
+    if (_lookup(wanted, keys, counts) > TOGETHER).any():
+        # Equal sets meet in one place; where that could hold too many, they are merged before.
+        sets = sets.select("g", "node", F.array_sort("e").alias("e"))
+        classes = sets.groupBy("g", "e").agg(F.min(F.struct(is_bnode("node").alias("b"), "node")).alias("least"))
+        classes = cut_lineage(classes.select("g", F.col("least.node").alias("node"), "e"))
+        equal = sets.join(classes.withColumnRenamed("node", "term"), ["g", "e"]).filter(is_bnode("node") & (F.col("node") != F.col("term"))).select("g", F.col("node").alias("bnode"), "term", F.size("e").cast("bigint").alias("n"), F.lit(True).alias("equal"))
+        sets = classes
+    found = _compared(sets, keys, counts, wanted, _best, "g string, bnode string, term string, n bigint, equal boolean", by_set=True)
+    return found if equal is None else found.unionByName(equal)
+
+
+def _frequent_pivots(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent edges, how many nodes have each, and those of them at which blank nodes are looked for."""
     with shuffles_removed(sets.sparkSession):
         keys, counts = _frequent(sets)
 
@@ -114,7 +140,11 @@ def contained_sets(sets: DataFrame) -> DataFrame:
 
     blank = sets.filter(F.col("node").startswith("_:"))
     with shuffles_removed(sets.sparkSession):
-        wanted = np.sort(blank.select("e").mapInArrow(frequent_pivots, "e bigint").distinct().toArrow()["e"].to_numpy())
+        return keys, counts, np.sort(blank.select("e").mapInArrow(frequent_pivots, "e bigint").distinct().toArrow()["e"].to_numpy())
+
+
+def _compared(sets: DataFrame, keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray, compare: Callable[[pa.Table], pa.Table], schema: str, by_set: bool = False) -> DataFrame:
+    """`compare` over the sets that meet at an edge; a place that many terms share is split by rows, or so that equal sets stay together."""
     yes = np.ones(len(wanted), np.int64)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +158,13 @@ def contained_sets(sets: DataFrame) -> DataFrame:
             here = np.flatnonzero((n == 0) | (_lookup(edges, wanted, yes) > 0))
             pivot = np.zeros(len(edges), bool)
             pivot[_pivots(edges, row, n)] = True
-            starts = np.array([x.startswith("_:") for x in batch.column("node").to_pylist()])
+            starts = pc.starts_with(batch.column("node"), "_:").to_numpy(zero_copy_only=False)
             pivot &= starts[row]
             own = row[here] * np.int64(7919) % parts[here]
+            if by_set and (parts > 1).any():
+                total = np.zeros(batch.num_rows, np.uint64)
+                np.add.at(total, row, edges.astype(np.uint64))
+                own = ((total[row[here]] >> np.uint64(20)) % parts[here].astype(np.uint64)).astype(np.int64)
             asks = np.flatnonzero(pivot & (parts > 1))
             again = np.repeat(asks, parts[asks])
             part = np.concatenate([own, np.arange(len(again)) - np.repeat(np.cumsum(parts[asks]) - parts[asks], parts[asks])])
@@ -142,12 +176,62 @@ def contained_sets(sets: DataFrame) -> DataFrame:
                 [batch.column("g").take(rows), pa.array(edges[at]), pa.array(part.astype(np.int32)), pa.array(term), pa.array(ask), batch.column("node").take(rows), batch.column("e").take(rows)], names=["g", "pivot", "part", "is_term", "asks", "node", "e"]
             )
 
-    return map_groups(sets.mapInArrow(placed, "g string, pivot bigint, part int, is_term boolean, asks boolean, node string, e array<bigint>"), ["g", "pivot", "part"], _compare, "g string, bnode string, term string", chunk_rows=20_000)
+    return map_groups(sets.mapInArrow(placed, "g string, pivot bigint, part int, is_term boolean, asks boolean, node string, e array<bigint>"), ["g", "pivot", "part"], compare, schema, chunk_rows=20_000)
 
 
 def _compare(table: pa.Table) -> pa.Table:
     """Pairs of a row that asks and a term of its group that has all its edges."""
-    code = codes_of(table["g"], table["pivot"], table["part"])
+    a, b = _contained(table, codes_of(table["g"], table["pivot"], table["part"]))
+    names = table["node"].combine_chunks()
+    out = pa.table({"g": table["g"].combine_chunks().take(pa.array(a)), "bnode": names.take(pa.array(a)), "term": names.take(pa.array(b))})
+    return out.filter(pc.not_equal(out["bnode"], out["term"]))
+
+
+def _best(table: pa.Table) -> pa.Table:
+    """The best term of its group that has all edges of each row that asks; equal sets are compared once."""
+    names = table["node"].combine_chunks()
+    blank = pc.starts_with(names, "_:").to_numpy(zero_copy_only=False)
+    by_name = np.empty(len(names), np.int64)
+    by_name[pc.array_sort_indices(names).to_numpy()] = np.arange(len(names))
+    place = codes_of(table["g"], table["pivot"], table["part"])
+    edges, row = _flat(table["e"])
+    numbers = np.unique(edges, return_inverse=True)[1].ravel()
+    order = np.lexsort((numbers, row))
+    sizes = np.bincount(row, minlength=len(names))
+    starts = np.cumsum(sizes) - sizes
+    alike = np.unique(place, return_inverse=True)[1].ravel()
+    for i in range(int(sizes.max(initial=0))):
+        there = sizes > i
+        nth = np.full(len(names), -1)
+        nth[there] = numbers[order[starts[there] + i]]
+        alike = np.unique(alike * (len(edges) + 1) + nth + 1, return_inverse=True)[1].ravel()
+    is_term, asks = (table[c].to_numpy() for c in ("is_term", "asks"))
+    # The node that stays of each class; where equal sets are just looked for, the class has no term here.
+    order = np.lexsort((by_name, blank, ~is_term, alike))
+    stays = order[np.unique(alike[order], return_index=True)[1]]
+    asked = np.zeros(len(stays), bool)
+    asked[alike[asks]] = True
+    one = table.take(pa.array(stays))
+    one = one.set_column(one.column_names.index("asks"), "asks", pa.array(asked))
+    a, b = _contained(one, place[stays])
+    larger = sizes[stays][b] > sizes[stays][a]
+    a, b = a[larger], b[larger]
+    order = np.lexsort((by_name[stays][b], -sizes[stays][b], a))
+    a, b = a[order], b[order]
+    firsts = np.unique(a, return_index=True)[1]
+    above = np.full(len(stays), -1)
+    above[a[firsts]] = stays[b[firsts]]
+    rows, name = np.flatnonzero(asks), codes_of(names)
+    least = stays[alike[rows]]
+    equal = is_term[least] & (name[least] != name[rows])
+    to = np.where(equal, least, above[alike[rows]])
+    at = pa.array(rows[to >= 0])
+    equal, to = equal[to >= 0], to[to >= 0]
+    return pa.table({"g": table["g"].combine_chunks().take(at), "bnode": names.take(at), "term": names.take(pa.array(to)), "n": pa.array(sizes[to]), "equal": pa.array(equal)})
+
+
+def _contained(table: pa.Table, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that ask, and of each the terms of its group, itself included or not, that have all its edges."""
     edges, row = _flat(table["e"])
     sizes = np.bincount(row, minlength=table.num_rows)
     starts = np.cumsum(sizes) - sizes
@@ -161,7 +245,6 @@ def _compare(table: pa.Table) -> pa.Table:
     asks = np.flatnonzero(table["asks"].to_numpy())
     first, last = (np.searchsorted(code[terms], code[asks], side) for side in ("left", "right"))
     upto = np.cumsum(last - first)
-    names = table["node"].combine_chunks()
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for begin in range(0, int(upto[-1]) if len(upto) else 0, BLOCK):
         pair = np.arange(begin, min(begin + BLOCK, int(upto[-1])))
@@ -175,6 +258,4 @@ def _compare(table: pa.Table) -> pa.Table:
         have = there[np.minimum(np.searchsorted(there, want), len(there) - 1)] == want
         whole = np.bincount(of[~have], minlength=len(a)) == 0
         found.append((a[whole], b[whole]))
-    a, b = (pa.array(np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64)) for i in (0, 1))
-    out = pa.table({"g": table["g"].combine_chunks().take(a), "bnode": names.take(a), "term": names.take(b)})
-    return out.filter(pc.not_equal(out["bnode"], out["term"]))
+    return tuple(np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in (0, 1))

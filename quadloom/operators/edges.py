@@ -2,8 +2,8 @@
 
 An edge of a node is a string of direction (`+` if the node is the subject),
 predicate and neighbour. Edge sets are compared by mergeable signatures or by
-counting joined rows, so that a hub is no special case; candidates gather small sets
-(operators.contain).
+counting joined rows, so that a hub is no special case; candidates and the first
+round of leaning gather small sets (operators.contain).
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.functions.terms import is_bnode
-from quadloom.operators.contain import MOST, contained_sets, edge_sets
+from quadloom.operators.contain import MOST, best_supersets, contained_sets, edge_sets
+from quadloom.operators.gather import edges_of, ground_kinds, ground_table, hashed_sets
 from quadloom.runtime import cut_lineage, release
 
 _SEP = "\u0001"
@@ -128,6 +129,37 @@ def redundant(triples: DataFrame, changed: DataFrame | None = None) -> DataFrame
     return equal.unionByName(best)
 
 
+def _redundant_by_large(held: DataFrame) -> DataFrame:
+    """(g, bnode, term, n, equal): blank nodes of a node table whose edges a large node has too, that node, its degree, and whether it has no others; by joins."""
+    edges = cut_lineage(edges_of(held).distinct())
+    signed = cut_lineage(edge_signatures(edges))
+    large = held.filter("large").select("g", "node").distinct()
+    sized = cut_lineage(signed.join(large, ["g", "node"], "left_semi"))
+    classes = sized.groupBy("g", "degree", "sig1", "sig2").agg(F.min(F.struct(is_bnode("node").alias("b"), "node")).alias("least"))
+    kept = sized.filter(is_bnode("node")).join(classes, ["g", "degree", "sig1", "sig2"]).select("g", F.col("node").alias("bnode"), F.col("least.node").alias("term"), F.col("degree").alias("n"))
+    equal = kept.filter(F.col("bnode") != F.col("term"))
+    stay = signed.filter(is_bnode("node")).select("g", F.col("node").alias("bnode")).join(equal, ["g", "bnode"], "left_anti")
+    larger = contained_in(edges, stay, signed, sized.select("g", "node"))
+    larger = larger.join(sized.select("g", F.col("node").alias("term"), F.col("degree").alias("n")), ["g", "term"])
+    return equal.withColumn("equal", F.lit(True)).unionByName(larger.withColumn("equal", F.lit(False)))
+
+
+def redundant_nodes(nodes: DataFrame, triples: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(g, bnode, term): as `redundant`, from a node table, its triples and its kinds of edges.
+
+    Of ground terms only edges with a direction and predicate that blank nodes have
+    too are looked at and counted. Sets of up to MOST edges meet at a rare edge.
+    """
+    held = nodes.filter(is_bnode("node"))
+    shared = cut_lineage(ground_kinds(kinds))
+    if not shared.isEmpty():
+        held = held.unionByName(cut_lineage(ground_table(triples, shared)))
+    found = best_supersets(hashed_sets(held))
+    if not held.filter("large").isEmpty():
+        found = found.unionByName(_redundant_by_large(held))
+    return found.groupBy("g", "bnode").agg(F.min_by("term", F.struct(~F.col("equal"), -F.col("n"), F.col("term"))).alias("term"))
+
+
 def _others(triples: DataFrame, fixed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(g, bnode, term): candidates of the unfixed blank nodes other than themselves; those nodes (g, bnode); the table that both read."""
     hashed = lambda *c: F.xxhash64("g", "sign", "p", *c)

@@ -10,10 +10,15 @@ from quadloom.functions.terms import is_bnode, skolem
 TRIPLE = ["g", "s", "p", "o"]
 
 
+def checked(triples: DataFrame) -> DataFrame:
+    """Rows without nulls. Blank predicates are an error."""
+    p = F.when(is_bnode("p"), F.raise_error(F.concat(F.lit("blank predicate: "), F.col("p")))).otherwise(F.col("p"))
+    return triples.select(*TRIPLE).dropna().select("g", "s", p.alias("p"), "o")
+
+
 def normalise(triples: DataFrame) -> DataFrame:
     """Distinct rows without nulls, as RDF graphs are sets. Blank predicates are an error."""
-    checked = F.when(is_bnode("p"), F.raise_error(F.concat(F.lit("blank predicate: "), F.col("p")))).otherwise(F.col("p"))
-    return triples.select(*TRIPLE).dropna().select("g", "s", checked.alias("p"), "o").distinct()
+    return checked(triples).distinct()
 
 
 def is_ground() -> Column:

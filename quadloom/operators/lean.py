@@ -1,7 +1,8 @@
 """Lean graphs: drop redundant blank nodes and tell by a map what each stands for.
 
 1. Trivial stage, by joins over all graphs: blank nodes whose edges another term
-   has too, until there are none.
+   has too, until there are none. The first round reads a table of nodes
+   (operators.gather); there are more only where triples link blank nodes.
 2. Graphs in which blank nodes still link blank nodes are folded to their core:
    those that fit in a task by a depth-first or breadth-first search
    (core.GraphCore), many graphs a task; larger ones by breadth-first joins over
@@ -17,7 +18,9 @@ input and further columns. A graph whose search runs out of time has the status
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,8 @@ from pyspark.sql import functions as F
 from quadloom.operators import graphs
 from quadloom.operators.components import components_of_links
 from quadloom.operators.core import GraphCore, solutions
-from quadloom.operators.edges import closed, compose, fix_bnodes, redundant
+from quadloom.operators.edges import closed, compose, fix_bnodes, redundant, redundant_nodes
+from quadloom.operators.gather import kinds_of, node_table, triples_of
 from quadloom.operators.groups import codes_of, map_groups
 from quadloom.runtime import cut_lineage
 
@@ -39,17 +43,54 @@ class Leaning:
     """Lean triples (g, s, p, o); the map (g, bnode, term), total on the input's blank nodes; stats, one row a graph."""
 
     triples: DataFrame
-    mapping: DataFrame
-    stats: DataFrame
+    _mapping: Callable[[], DataFrame]
+    _stats: Callable[[], DataFrame]
+
+    @cached_property
+    def mapping(self) -> DataFrame:
+        """Made when it is first asked for."""
+        return self._mapping()
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return self._stats()
+
+
+@dataclass
+class _Look:
+    """Distinct triples; the map (g, bnode, term) of blank nodes whose edges another term has too; whether triples link blank nodes; the triples left without the mapped ones, if none do."""
+
+    rows: DataFrame
+    found: DataFrame
+    linked: bool
+    left: DataFrame
+
+
+def _first_look(triples: DataFrame) -> _Look:
+    nodes = cut_lineage(node_table(triples), "zstd")
+    kinds = cut_lineage(kinds_of(nodes))
+    any_large = not nodes.filter("large").isEmpty()
+    linked = not kinds.filter("link").isEmpty()
+    rows = triples_of(nodes, any_large)
+    if linked:
+        rows = cut_lineage(rows)
+    found = cut_lineage(redundant_nodes(nodes, rows, kinds))
+    # Hashing the few that go spares the others a sort.
+    gone = found.select("g", F.col("bnode").alias("node")).hint("shuffle_hash")
+    return _Look(rows, found, linked, triples_of(nodes.join(gone, ["g", "node"], "left_anti"), any_large))
 
 
 def lean_trivially(triples: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The triples without blank nodes that another term makes redundant, and the map (g, bnode, term) of those."""
-    rows, changed = triples, None
-    total = triples.select("g", F.col("s").alias("bnode"), F.col("s").alias("term")).filter(F.lit(False))
+    look = _first_look(triples)
+    return _further_looks(look, max_rounds) if look.linked else (look.left, closed(look.found))
+
+
+def _further_looks(look: _Look, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    rows, found = look.rows, look.found
+    total = rows.select("g", F.col("s").alias("bnode"), F.col("s").alias("term")).filter(F.lit(False))
     done = 0
     while True:
-        found = cut_lineage(redundant(rows, changed))
         done += 1
         if found.isEmpty():
             return rows, total
@@ -65,6 +106,7 @@ def lean_trivially(triples: DataFrame, max_rounds: int | None = None) -> tuple[D
         rows = left
         if done == max_rounds or changed.isEmpty():
             return rows, total
+        found = cut_lineage(redundant(rows, changed))
 
 
 def _core_runner(algorithm: str, prune: bool, seed: int | None, timeout: float):
@@ -131,8 +173,13 @@ def lean(triples: DataFrame, algorithm: str = "dfs", prune: bool = True, seed: i
     """
     if algorithm not in ("dfs", "bfs"):
         raise ValueError(f"unknown algorithm {algorithm}")
-    rows = cut_lineage(graphs.normalise(triples))
-    reduced, trivial = lean_trivially(rows)
+    look = _first_look(graphs.checked(triples))
+    rows = look.rows
+    if not look.linked:
+        # No blank node has lost edges, and each is a component of its own.
+        none = rows.select("g").filter(F.lit(False)).select("g", *(F.lit(0).cast("bigint").alias(c) for c in ("joins", "depth", "solutions")), F.lit("OK").alias("status"))
+        return Leaning(look.left, lambda: _witness(rows, closed(look.found)), lambda: _stats(rows, look.left, none))
+    reduced, trivial = _further_looks(look)
     linked = graphs.bnode_links(reduced).select("g").distinct()
     sizes = reduced.join(linked, "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     sizes = cut_lineage(sizes)
@@ -145,14 +192,19 @@ def lean(triples: DataFrame, algorithm: str = "dfs", prune: bool = True, seed: i
     if not large.isEmpty():
         big, big_map, big_work = _lean_large(cut_lineage(reduced.join(large, "g", "left_semi").select(*graphs.TRIPLE)))
         out, cores, work = out.unionByName(big.select(*graphs.TRIPLE)), cores.unionByName(big_map), work.unionByName(big_work.withColumn("status", F.lit("OK")))
-    everything = graphs.bnodes(rows)
-    witness = everything.join(trivial, ["g", "bnode"], "left").select("g", "bnode", F.coalesce("term", "bnode").alias("term"))
-    witness = cut_lineage(compose(witness, cores))
     out = cut_lineage(out)
+    return Leaning(out, lambda: compose(_witness(rows, trivial), cores), lambda: _stats(rows, out, work))
+
+
+def _witness(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(g, bnode, term): `found`, and each other blank node to itself."""
+    return graphs.bnodes(rows).join(found, ["g", "bnode"], "left").select("g", "bnode", F.coalesce("term", "bnode").alias("term"))
+
+
+def _stats(rows: DataFrame, out: DataFrame, work: DataFrame) -> DataFrame:
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("joins", "depth", "solutions")]
     count = lambda df, name: df.groupBy("g").agg(F.count(F.lit(1)).alias(name))
-    stats = (
-        count(rows, "triples").join(count(everything, "bnodes"), "g", "left").join(count(out, "out_triples"), "g", "left").join(count(graphs.bnodes(out), "out_bnodes"), "g", "left").join(work, "g", "left")
+    return (
+        count(rows, "triples").join(count(graphs.bnodes(rows), "bnodes"), "g", "left").join(count(out, "out_triples"), "g", "left").join(count(graphs.bnodes(out), "out_bnodes"), "g", "left").join(work, "g", "left")
         .select("g", "triples", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("bnodes", "out_triples", "out_bnodes")), *zero, F.coalesce("status", F.lit("OK")).alias("status"))
     )
-    return Leaning(out, witness, stats)

@@ -79,16 +79,17 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write `df` as a table in the shared checkpoint folder and go on from its files.
 
     The files outlive any executor, so iterative jobs neither recompute nor
     depend on executor-local blocks; as Parquet they are a fraction of the size of
     serialised rows. `release` deletes a table that a later round has replaced.
+    `compression` is Spark's default unless it is given.
     """
     path = f"{_shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     with shuffles_removed(df.sparkSession):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     cut = df.sparkSession.read.schema(df.schema).parquet(path)
     cut._cut_path = path
     return cut

@@ -9,8 +9,8 @@ from quadloom.operators import contain, edges, graphs
 from quadloom.operators.core import best_solutions, solutions
 from quadloom.operators.edges import candidates, fix_bnodes, node_edges, rarest_edges
 from quadloom.operators.label import canonicalise
-from quadloom.operators.lean import lean, lean_trivially
-from quadloom.runtime import cut_lineage
+from quadloom.operators.lean import _first_look, lean, lean_trivially
+from quadloom.runtime import _shared_dir, cut_lineage
 from tests.test_label import FAMILIES, SCHEMA, both, clique, cycle, grid, rows_of, shuffled
 
 PATH = [(f"_:n{i}", "<p>", f"_:n{i + 1}") for i in range(4)]
@@ -156,3 +156,70 @@ def test_cut_tables_leave_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert files() <= before and cut.count() == 1000
+
+
+def redundant_of(rows):
+    """Blank nodes of a graph whose edges another term has too, and all such terms, by comparing all edge sets; of equal sets a ground term or the least node stays."""
+    sets = {}
+    for s, p, o in rows:
+        sets.setdefault(s, set()).add(("+", p, o))
+        sets.setdefault(o, set()).add(("-", p, s))
+    order = lambda t: (t.startswith("_:"), t)
+    found = {}
+    for a in sets:
+        for b in sets if a.startswith("_:") else ():
+            if a != b and sets[a] <= sets[b] and (sets[a] != sets[b] or order(b) < order(a)):
+                found.setdefault(a, set()).add(b)
+    return found
+
+
+@pytest.mark.parametrize("limits", [{}, {"TOGETHER": 2}, {"KNOWN": 1}, {"batch": 3}], ids=str)
+def test_first_look_is_that_of_all_pairs(spark, monkeypatch, limits):
+    key, batch = "spark.sql.execution.arrow.maxRecordsPerBatch", limits.get("batch", 10_000)
+    for name, value in limits.items():
+        if name != "batch":
+            monkeypatch.setattr(contain, name, value)
+    hub = [(f"_:{x}", "<p>", f"<u{i}>") for x, n in (("m", 40), ("n", 50), ("k", 31), ("l", 32), ("o", 50), ("r", 33)) for i in range(n)]
+    ground = [("<h>", "<p>", f"<u{i}>") for i in range(60)] + [("<h>", "<q>", '"1"')] + [(f"_:{x}", "<p>", f"<u{i}>") for x, n in (("a", 1), ("b", 45), ("c", 60)) for i in range(n)]
+    same = [(f"_:t{i}", "<p>", f"<u{i % 2}>") for i in range(9)] + [("<s>", "<p>", "<u0>"), ("<s>", "<p>", "<u1>")]
+    odd = [("_:a", "<p>", f'"{x}"') for x in ("\u0001", "\u0002", "\u0003", "\u0003a", "\u0003b", "\u0001\u0002\u0003c", "")] + [("_:b", "<p>", '"\u0002"'), ("_:b", "", ""), ("", "<\u0001>", "_:c"), ("\u0003b", "\u0002", "\u0001")]
+    families = RANDOM | {"hub": hub, "ground": ground, "same": same, "both": hub + same, "odd": odd, "path": PATH, "none": [("<u>", "<p>", f"<v{i}>") for i in range(70)], "lines": lines(20)}
+    spark.conf.set(key, str(batch))
+    try:
+        unlinked = {g: r for g, r in families.items() if not any(s.startswith("_:") and o.startswith("_:") and s != o for s, _, o in r)}
+        for graph_rows in (families, unlinked):
+            rows = [(g, *r) for g, family in graph_rows.items() for r in family]
+            look = _first_look(spark.createDataFrame([*rows, *rows[::-1], *rows[::7]], SCHEMA))
+            got = [tuple(r) for r in look.rows.collect()]
+            assert len(got) == len(set(got)) and set(got) == set(rows)
+            found = {(r.g, r.bnode): r.term for r in look.found.collect()}
+            want = {(g, a): terms for g, family in graph_rows.items() for a, terms in redundant_of(family).items()}
+            assert found.keys() == want.keys() and all(found[k] in want[k] for k in want)
+            assert look.linked == (graph_rows is families)
+            if not look.linked:
+                left = [tuple(r) for r in look.left.collect()]
+                assert len(left) == len(set(left)) and set(left) == {r for r in rows if (r[0], r[1]) not in found and (r[0], r[3]) not in found}
+    finally:
+        spark.conf.unset(key)
+
+
+def lines(n):
+    """Two kinds of lines of each of `n` orders, of which one has all edges of the other."""
+    return [r for i in range(n) for k in range(2) for r in [(f"<order/{i}>", "<has>", f"_:l{i}x{k}"), (f"_:l{i}x{k}", "<flag>", '"N"'), (f"_:l{i}x{k}", "<lstatus>", '"O"')] + [(f"_:l{i}x{k}", "<discounted>", '"true"')] * k]
+
+
+def test_tables_of_an_unlinked_graph_take_little_room(spark):
+    """Together no more than its triples as a table, and the result is right."""
+    folder = lambda: Path(_shared_dir(spark).removeprefix("file:"))
+    size = lambda f: sum(p.stat().st_size for p in f.rglob("*.parquet"))
+    rows = [("G", *r) for r in lines(5_000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    before = size(folder())
+    cut = cut_lineage(df)
+    plain = size(folder()) - before
+    found = lean(cut)
+    assert rows_of(found.triples) == {r for r in rows if "x0" not in r[1] + r[3]}
+    assert size(folder()) - before - plain <= plain
+    assert {(r.bnode, r.term) for r in found.mapping.collect()} == {(f"_:l{i}x{k}", f"_:l{i}x1") for i in range(5_000) for k in range(2)}
+    stats = found.stats.first()
+    assert (stats.triples, stats.bnodes, stats.out_triples, stats.out_bnodes, stats.status) == (35_000, 10_000, 20_000, 5_000, "OK")
