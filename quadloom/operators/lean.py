@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadloom.functions.terms import is_bnode
 from quadloom.operators import graphs
 from quadloom.operators.components import components_of_links
 from quadloom.operators.core import GraphCore, solutions
@@ -58,9 +59,10 @@ class Leaning:
 
 @dataclass
 class _Look:
-    """Distinct triples; the map (g, bnode, term) of blank nodes whose edges another term has too; whether triples link blank nodes; the triples left without the mapped ones, if none do."""
+    """Distinct triples; their blank nodes (g, bnode); the map (g, bnode, term) of blank nodes whose edges another term has too; whether triples link blank nodes; the triples left without the mapped ones, if none do."""
 
     rows: DataFrame
+    bnodes: DataFrame
     found: DataFrame
     linked: bool
     left: DataFrame
@@ -75,9 +77,10 @@ def _first_look(triples: DataFrame) -> _Look:
     if linked:
         rows = cut_lineage(rows)
     found = cut_lineage(redundant_nodes(nodes, rows, kinds))
+    bnodes = nodes.filter(is_bnode("node")).select("g", F.col("node").alias("bnode"))
     # Hashing the few that go spares the others a sort.
     gone = found.select("g", F.col("bnode").alias("node")).hint("shuffle_hash")
-    return _Look(rows, found, linked, triples_of(nodes.join(gone, ["g", "node"], "left_anti"), any_large))
+    return _Look(rows, bnodes.distinct() if any_large else bnodes, found, linked, triples_of(nodes.join(gone, ["g", "node"], "left_anti"), any_large))
 
 
 def lean_trivially(triples: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -178,7 +181,7 @@ def lean(triples: DataFrame, algorithm: str = "dfs", prune: bool = True, seed: i
     if not look.linked:
         # No blank node has lost edges, and each is a component of its own.
         none = rows.select("g").filter(F.lit(False)).select("g", *(F.lit(0).cast("bigint").alias(c) for c in ("joins", "depth", "solutions")), F.lit("OK").alias("status"))
-        return Leaning(look.left, lambda: _witness(rows, closed(look.found)), lambda: _stats(rows, look.left, none))
+        return Leaning(look.left, lambda: cut_lineage(_witness(look.bnodes, closed(look.found))), lambda: _stats(rows, look.left, none))
     reduced, trivial = _further_looks(look)
     linked = graphs.bnode_links(reduced).select("g").distinct()
     sizes = reduced.join(linked, "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("n"))
@@ -193,12 +196,12 @@ def lean(triples: DataFrame, algorithm: str = "dfs", prune: bool = True, seed: i
         big, big_map, big_work = _lean_large(cut_lineage(reduced.join(large, "g", "left_semi").select(*graphs.TRIPLE)))
         out, cores, work = out.unionByName(big.select(*graphs.TRIPLE)), cores.unionByName(big_map), work.unionByName(big_work.withColumn("status", F.lit("OK")))
     out = cut_lineage(out)
-    return Leaning(out, lambda: compose(_witness(rows, trivial), cores), lambda: _stats(rows, out, work))
+    return Leaning(out, lambda: cut_lineage(compose(_witness(look.bnodes, trivial), cores)), lambda: _stats(rows, out, work))
 
 
-def _witness(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(g, bnode, term): `found`, and each other blank node to itself."""
-    return graphs.bnodes(rows).join(found, ["g", "bnode"], "left").select("g", "bnode", F.coalesce("term", "bnode").alias("term"))
+def _witness(bnodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(g, bnode, term): `found`, and each other of `bnodes` to itself."""
+    return bnodes.join(found, ["g", "bnode"], "left").select("g", "bnode", F.coalesce("term", "bnode").alias("term"))
 
 
 def _stats(rows: DataFrame, out: DataFrame, work: DataFrame) -> DataFrame:
